@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -24,12 +23,12 @@ def local_session(cpus: int | str = "*", app: str = "leaksieve") -> SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only if none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
+    """The shared folder the cluster names; a fresh local one only where none is set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        named = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", named)
-    spark.sparkContext.setCheckpointDir(named)
+        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
     return named
