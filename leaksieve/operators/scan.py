@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.functions.text import fold_case, strip
-from leaksieve.rules.model import Rule, custom_domain_rule, quote
+from leaksieve.rules.model import Rule, custom_domain_rule, literal, quote
 
 SNIPPET_LENGTH = 100
 SEARCH_TYPE = "User Search"
@@ -23,7 +22,9 @@ SEARCH_SEVERITY = "info"
 
 # Noncharacters that frame matches; a text holding one is framed by a tag made
 # from its own hash instead.
-_OPEN, _CLOSE = "﷐", "﷑"
+_OPEN, _CLOSE = chr(0xFDD0), chr(0xFDD1)
+
+_WORD_BEFORE_EQUALS = r"(?<![A-Za-z0-9_])([A-Za-z0-9_]++)="
 
 _TEXT, _FOLDED, _RULE = "_text", "_folded", "_rule"
 
@@ -52,7 +53,7 @@ def scan(
     hits = _hits(texts, rules, ["file", *keep])
 
     def of_rule(values: Sequence[str]) -> Column:
-        return F.element_at(F.array(*map(F.lit, values)), F.col(_RULE))
+        return F.expr(f"element_at(array({', '.join(map(literal, values))}), {_RULE})")
 
     found = _with_matches(hits, of_rule([rule.java for rule in rules]), ["file", *keep, _RULE])
     numbered = F.array_distinct(
@@ -111,44 +112,47 @@ def union_findings(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def _hits(texts: DataFrame, rules: Sequence[Rule], ids: Sequence[str]) -> DataFrame:
-    """One row per text and rule that hits in it, with the rule's 1-based position."""
+    """One row per text and rule that hits in it, with the rule's 1-based position.
+
+    The expressions are written as SQL: hundreds of them parse at once, where
+    hundreds of Column calls take seconds to put together.
+    """
     plain = [(n, r) for n, r in enumerate(rules, 1) if not r.keywords]
-    tests = {test: _test(*test) for _, rule in plain for test in _tests(rule)}
     used = Counter(test for _, rule in plain for test in _tests(rule))
-    shared = {test: f"_test{n}" for n, (test, times) in enumerate(used.items()) if times > 1}
     # Tests that several rules use are columns of their own, computed once a text.
+    shared = {test: f"_test{n}" for n, (test, times) in enumerate(used.items()) if times > 1}
     folded = texts.select("*", fold_case(F.col(_TEXT)).alias(_FOLDED))
-    prepared = folded.select("*", *(tests[test].alias(name) for test, name in shared.items()))
+    prepared = folded.selectExpr("*", *(f"{test} AS {name}" for test, name in shared.items()))
 
-    def rule_hits(rule: Rule) -> Column:
-        gates = [F.col(shared[test]) if test in shared else tests[test] for test in _tests(rule)]
-        return reduce(Column.__and__, [*gates, F.col(_TEXT).rlike(rule.java)])
+    def hit(n: int, rule: Rule) -> str:
+        gates = [shared.get(test, test) for test in _tests(rule)]
+        return f"CASE WHEN {' AND '.join([*gates, _matches(_TEXT, rule.java)])} THEN {n} END"
 
-    hit_lists = []
+    lists = []
     if plain:
-        hit_lists.append(F.array_compact(F.array(*(F.when(rule_hits(r), F.lit(n)) for n, r in plain))))
+        lists.append(f"array_compact(array({', '.join(hit(n, rule) for n, rule in plain)}))")
     if len(plain) < len(rules):
-        hit_lists.append(_keyword_candidates(rules))
-    hits = F.concat(*hit_lists) if len(hit_lists) > 1 else hit_lists[0]
-    return prepared.select(*ids, _TEXT, F.explode(hits).alias(_RULE))
+        lists.append(_keyword_candidates(rules))
+    hits = f"concat({', '.join(lists)})" if len(lists) > 1 else lists[0]
+    return prepared.select(*ids, _TEXT, F.expr(f"explode({hits})").alias(_RULE))
 
 
-def _tests(rule: Rule) -> list[tuple[str, tuple[str, ...]]]:
-    """What to test before running the rule: (column, literals) or ("regex", (regex,))."""
-    sought = _FOLDED if rule.ignore_case else _TEXT
-    regex = [("regex", (rule.needs_regex,))] if rule.needs_regex else []
-    # A mark has no case, so every rule can share its test.
-    marks = [(_TEXT if all(len(x) == 1 for x in group) else sought, group) for group in rule.needs]
-    return marks + regex
+def _tests(rule: Rule) -> list[str]:
+    """SQL conditions to try before the rule itself, cheapest first."""
+    tests = []
+    for literals in rule.needs:
+        # A mark has no case, so every rule can share its test.
+        mark = all(len(text) == 1 for text in literals)
+        sought = _FOLDED if rule.ignore_case and not mark else _TEXT
+        tests.append("(" + " OR ".join(f"contains({sought}, {literal(text)})" for text in literals) + ")")
+    return [*tests, _matches(_TEXT, rule.needs_regex)] if rule.needs_regex else tests
 
 
-def _test(column: str, parts: tuple[str, ...]) -> Column:
-    if column == "regex":
-        return F.col(_TEXT).rlike(parts[0])
-    return reduce(Column.__or__, [F.col(column).contains(part) for part in parts])
+def _matches(column: str, regex: str) -> str:
+    return f"rlike({column}, {literal(regex)})"
 
 
-def _keyword_candidates(rules: Sequence[Rule]) -> Column:
+def _keyword_candidates(rules: Sequence[Rule]) -> str:
     """Positions of the ``keyword=value`` rules whose keyword stands before a ``=``.
 
     One pass lists the words before ``=``; rules are then found by key, however
@@ -158,15 +162,15 @@ def _keyword_candidates(rules: Sequence[Rule]) -> Column:
     for n, rule in enumerate(rules, 1):
         for keyword in rule.keywords:
             by_keyword.setdefault(keyword, []).append(n)
-    words = F.regexp_extract_all(F.col(_TEXT), F.lit(r"(?<![A-Za-z0-9_])([A-Za-z0-9_]++)="), 1)
-    known = F.array(*map(F.lit, by_keyword))
-    rules_of = F.create_map(
-        *(c for k, ns in by_keyword.items() for c in (F.lit(k), F.array(*map(F.lit, ns))))
-    )
-    candidates = F.array_distinct(
-        F.flatten(F.transform(F.array_intersect(words, known), lambda w: F.element_at(rules_of, w)))
-    )
-    return F.when(F.col(_TEXT).contains("="), candidates).otherwise(F.array().cast("array<int>"))
+    known = ", ".join(map(literal, by_keyword))
+    rules_of = ", ".join(f"array({', '.join(map(str, ns))})" for ns in by_keyword.values())
+    words = f"regexp_extract_all({_TEXT}, {literal(_WORD_BEFORE_EQUALS)}, 1)"
+    return f"""
+        CASE WHEN contains({_TEXT}, '=') THEN array_distinct(flatten(transform(
+            array_intersect({words}, array({known})),
+            word -> element_at(map_from_arrays(array({known}), array({rules_of})), word)
+        ))) ELSE cast(array() AS array<int>) END
+    """
 
 
 def _with_matches(texts: DataFrame, pattern: Column, ids: Sequence[str]) -> DataFrame:

@@ -61,6 +61,11 @@ def quote(literal: str) -> str:
     )
 
 
+def literal(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def user_rules(rules: Mapping[str, str | re.Pattern[str]]) -> list[Rule]:
     """Rules given as ``name -> regex``.
 
