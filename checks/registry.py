@@ -248,7 +248,7 @@ def _filter_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FILTER_SUFFIX_SQL = f"""
     SELECT path, suffix FROM (
-        SELECT path, regexp_extract(regexp_extract(path, '[^/]*$'), '^\\.*[^.].*?(\\.[^.]+)$', 1) AS suffix FROM (
+        SELECT path, regexp_extract(regexp_extract(path, '[^/]*$'), '^.+(\\.[^.]+)$', 1) AS suffix FROM (
             SELECT path FROM ({_PATHS})
             UNION ALL
             SELECT regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages

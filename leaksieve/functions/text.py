@@ -15,14 +15,16 @@ def strip(text: Column) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Lower case for literal tests that ignore case; never misses an equal letter.
+    """Upper case for literal tests that ignore case; never misses an equal letter.
 
-    Some letters outside ASCII equal a plain one when case is ignored but reach
-    it only by way of upper case, and one lower-cases to two characters.
+    Upper case also reaches the few letters outside ASCII that equal a plain one
+    when case is ignored, but for two that are upper case already.
     """
     ascii_only = F.octet_length(text) == F.length(text)
-    dotted = F.replace(text, F.lit("İ"), F.lit("i"))
-    return F.when(ascii_only, F.lower(text)).otherwise(F.lower(F.upper(dotted)))
+    plain = text
+    for letter, equal in ((chr(0x130), "i"), (chr(0x212A), "k")):
+        plain = F.replace(plain, F.lit(letter), F.lit(equal))
+    return F.upper(F.when(ascii_only, text).otherwise(plain))
 
 
 def normalized(text: Column) -> Column:

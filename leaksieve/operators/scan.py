@@ -143,8 +143,10 @@ def _tests(rule: Rule) -> list[str]:
     for literals in rule.needs:
         # A mark has no case, so every rule can share its test.
         mark = all(len(text) == 1 for text in literals)
-        sought = _FOLDED if rule.ignore_case and not mark else _TEXT
-        tests.append("(" + " OR ".join(f"contains({sought}, {literal(text)})" for text in literals) + ")")
+        sought, texts = (_TEXT, literals)
+        if rule.ignore_case and not mark:
+            sought, texts = (_FOLDED, [text.upper() for text in literals])
+        tests.append("(" + " OR ".join(f"contains({sought}, {literal(text)})" for text in texts) + ")")
     return [*tests, _matches(_TEXT, rule.needs_regex)] if rule.needs_regex else tests
 
 

@@ -23,9 +23,8 @@ MAX_BYTES = 50 * 1024 * 1024
 
 
 def suffix_of(path: Column) -> Column:
-    """Last suffix of the last path part; empty for names such as ``.env``."""
-    name = F.substring_index(path, "/", -1)
-    return F.regexp_extract(name, r"^\.*[^.].*?(\.[^.]+)$", 1)
+    """Last suffix of the last path part; a dot that begins or ends the name is none."""
+    return F.regexp_extract(F.substring_index(path, "/", -1), r"(?s)^.+(\.[^.]+)\z", 1)
 
 
 def has_suffix(path: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
@@ -121,5 +120,6 @@ def _list_files(base: str, suffixes: Sequence[str], excluded: Sequence[str]) ->
     for folder, folders, names in os.walk(base):
         folders[:] = [name for name in folders if name not in excluded]
         for name in names:
-            if os.path.splitext(name)[1] in suffixes:
+            dot = name.rfind(".")
+            if dot > 0 and name[dot:] in suffixes:
                 yield os.path.join(folder, name)
