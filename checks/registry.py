@@ -132,7 +132,7 @@ def _scan_unescaped_sql() -> str:
 
 def _findings_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The same file comes in twice: once from each of two captures.
-    both = pages(spark, sf_dir).unionByName(pages(spark, sf_dir))
+    both = documents(spark, sf_dir).unionByName(documents(spark, sf_dir))
     return distinct_findings(scan(both, standard_rules()))
 
 
@@ -183,7 +183,9 @@ def _stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table read as a stream, its findings written as they come."""
     schema = table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
-    found = scan_stream(corpus_from(stream, "doc_id", "text"), standard_rules())
+    cores = spark.sparkContext.defaultParallelism
+    texts = corpus_from(stream, "doc_id", "text").repartition(cores)
+    found = scan_stream(texts, standard_rules())
     return _drained(spark, found)
 
 
@@ -610,7 +612,7 @@ def build() -> dict[str, tuple[Query, str | None]]:
             lambda spark, sf: search(documents(spark, sf), TERM),
             sql.search(sql.DOCUMENTS, TERM, TERM_STRIPPED),
         ),
-        "findings_distinct": (_findings_distinct, sql.scan(sql.PAGES, std())),
+        "findings_distinct": (_findings_distinct, sql.scan(sql.DOCUMENTS, std())),
         "findings_union": (_findings_union, _findings_union_sql()),
         "incremental_scan": (_incremental, sql.scan(sql.DOCUMENTS, std())),
         "incremental_new_contents": (_newly_scanned, _NEWLY_SCANNED_SQL),

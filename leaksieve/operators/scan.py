@@ -1,8 +1,9 @@
 """Run a rule set over whole texts: one row per finding.
 
-The whole scan is one narrow stage.  Per text an array of the rules that hit is
-built; only those (text, rule) pairs go on to extraction, and repeated findings
-of one text are dropped inside its row, so nothing is shuffled.
+The whole scan is one narrow stage.  Per text an array of the rules that can hit
+is built by cheap tests; only those (text, rule) pairs meet the rule's regex, once,
+and repeated findings of one text are dropped inside its row, so nothing is
+shuffled.
 """
 
 from __future__ import annotations
@@ -50,12 +51,12 @@ def scan(
         raise ValueError("no rules to scan with")
     ids = [F.col(file).cast("string").alias("file"), *keep]
     texts = corpus.select(*ids, F.col(text).alias(_TEXT)).where(F.length(_TEXT) > 0)
-    hits = _hits(texts, rules, ["file", *keep])
+    candidates = _candidates(texts, rules, ["file", *keep])
 
     def of_rule(values: Sequence[str]) -> Column:
         return F.expr(f"element_at(array({', '.join(map(literal, values))}), {_RULE})")
 
-    found = _with_matches(hits, of_rule([rule.java for rule in rules]), ["file", *keep, _RULE])
+    found = _with_matches(candidates, of_rule([rule.java for rule in rules]), ["file", *keep, _RULE])
     numbered = F.array_distinct(
         F.zip_with(
             "_lines",
@@ -111,8 +112,8 @@ def union_findings(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def _hits(texts: DataFrame, rules: Sequence[Rule], ids: Sequence[str]) -> DataFrame:
-    """One row per text and rule that hits in it, with the rule's 1-based position.
+def _candidates(texts: DataFrame, rules: Sequence[Rule], ids: Sequence[str]) -> DataFrame:
+    """One row per text and rule that can hit in it, with the rule's 1-based position.
 
     The expressions are written as SQL: hundreds of them parse at once, where
     hundreds of Column calls take seconds to put together.
@@ -124,21 +125,23 @@ def _hits(texts: DataFrame, rules: Sequence[Rule], ids: Sequence[str]) -> DataFr
     folded = texts.select("*", fold_case(F.col(_TEXT)).alias(_FOLDED))
     prepared = folded.selectExpr("*", *(f"{test} AS {name}" for test, name in shared.items()))
 
-    def hit(n: int, rule: Rule) -> str:
-        gates = [shared.get(test, test) for test in _tests(rule)]
-        return f"CASE WHEN {' AND '.join([*gates, _matches(_TEXT, rule.java)])} THEN {n} END"
+    def candidate(n: int, rule: Rule) -> str:
+        # Those already computed come first.
+        tests = sorted(_tests(rule), key=lambda test: test not in shared)
+        gates = [shared.get(test, test) for test in tests]
+        return f"CASE WHEN {' AND '.join(gates)} THEN {n} END" if gates else str(n)
 
     lists = []
     if plain:
-        lists.append(f"array_compact(array({', '.join(hit(n, rule) for n, rule in plain)}))")
+        lists.append(f"array_compact(array({', '.join(candidate(n, rule) for n, rule in plain)}))")
     if len(plain) < len(rules):
         lists.append(_keyword_candidates(rules))
-    hits = f"concat({', '.join(lists)})" if len(lists) > 1 else lists[0]
-    return prepared.select(*ids, _TEXT, F.expr(f"explode({hits})").alias(_RULE))
+    found = f"concat({', '.join(lists)})" if len(lists) > 1 else lists[0]
+    return prepared.select(*ids, _TEXT, F.expr(f"explode({found})").alias(_RULE))
 
 
 def _tests(rule: Rule) -> list[str]:
-    """SQL conditions to try before the rule itself, cheapest first."""
+    """SQL conditions every match of the rule implies, cheapest first."""
     tests = []
     for literals in rule.needs:
         # A mark has no case, so every rule can share its test.
@@ -147,11 +150,7 @@ def _tests(rule: Rule) -> list[str]:
         if rule.ignore_case and not mark:
             sought, texts = (_FOLDED, [text.upper() for text in literals])
         tests.append("(" + " OR ".join(f"contains({sought}, {literal(text)})" for text in texts) + ")")
-    return [*tests, _matches(_TEXT, rule.needs_regex)] if rule.needs_regex else tests
-
-
-def _matches(column: str, regex: str) -> str:
-    return f"rlike({column}, {literal(regex)})"
+    return [*tests, f"rlike({_TEXT}, {literal(rule.needs_regex)})"] if rule.needs_regex else tests
 
 
 def _keyword_candidates(rules: Sequence[Rule]) -> str:
@@ -176,7 +175,7 @@ def _keyword_candidates(rules: Sequence[Rule]) -> str:
 
 
 def _with_matches(texts: DataFrame, pattern: Column, ids: Sequence[str]) -> DataFrame:
-    """Add ``_matches`` and ``_lines``: all matches of ``pattern`` and where each starts.
+    """Adds ``_matches`` of ``pattern`` in order and the ``_lines`` they start on, or nulls.
 
     Every match is framed by two markers.  Cutting at the opening ones gives the
     matches; counting the opening ones line by line gives their line numbers.
@@ -214,4 +213,8 @@ def _with_matches(texts: DataFrame, pattern: Column, ids: Sequence[str]) -> Data
             ).otherwise(F.array().cast("array<int>")),
         )
     )
-    return framed.select(*ids, matches.alias("_matches"), lines.alias("_lines"))
+    # Null where nothing matched: a filter would be pushed down and replace twice.
+    matched = marked.contains(opening)
+    return framed.select(
+        *ids, F.when(matched, matches).alias("_matches"), F.when(matched, lines).alias("_lines")
+    )

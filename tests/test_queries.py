@@ -20,7 +20,7 @@ def test_query(spark, duck, name):
     query, twin = build()[name]
     ours = query(spark, SF)
     mine = rows_of(ours.columns, ours.collect())
-    assert mine
+    assert mine or twin
     if twin:
         theirs = duck.sql(twin)
         assert sorted(ours.columns) == sorted(theirs.columns)
