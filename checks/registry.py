@@ -575,7 +575,7 @@ _NAMED_SQL = f"""
     ), repeated AS (
         SELECT *, row_number() OVER (PARTITION BY host, full_name ORDER BY md5(url), url) - 1 AS again FROM named
     )
-    SELECT url, status, content_type, content_length, kind, host, CASE WHEN again = 0 THEN full_name ELSE
+    SELECT url, kind, host, CASE WHEN again = 0 THEN full_name ELSE
         regexp_extract(full_name, '^(.*)\\.[^.]*$', 1) || '_' || again || regexp_extract(full_name, '\\.[^.]*$') END
         AS file_name
     FROM repeated

@@ -60,7 +60,7 @@ def _decode_ignoring_errors():
     def decode(content: pd.Series) -> pd.Series:
         return content.map(lambda b: None if b is None else bytes(b).decode("utf-8", errors="ignore"))
 
-    return decode
+    return decode.asNondeterministic()  # so that no filter runs it twice
 
 
 def unescape(text: Column) -> Column:
@@ -98,7 +98,7 @@ def _unescape_udf():
             warnings.simplefilter("ignore", DeprecationWarning)
             return text.map(one)
 
-    return resolve
+    return resolve.asNondeterministic()  # so that no filter runs it twice
 
 
 def similarity(current: Column, first: Column) -> Column:
@@ -119,4 +119,4 @@ def _ratio_udf():
             dtype="float64",
         )
 
-    return ratio
+    return ratio.asNondeterministic()  # so that no filter runs it twice

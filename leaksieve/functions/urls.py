@@ -118,4 +118,4 @@ def _urljoin_udf():
 
         return pd.Series([one(b, t) for b, t in zip(base, link, strict=True)], dtype="object")
 
-    return join
+    return join.asNondeterministic()  # so that no filter runs it twice

@@ -12,6 +12,7 @@ from leaksieve.functions.text import content_hash
 from leaksieve.operators.scan import scan
 from leaksieve.operators.skew import ROWS_PER_TASK, join_hot
 from leaksieve.rules.model import Rule, custom_domain_rule
+from leaksieve.session import ensure_checkpoint_dir
 
 _FOUND = ("type", "line", "snippet", "severity")
 
@@ -27,6 +28,7 @@ def scan_contents(
     corpus: DataFrame,
     rules: Sequence[Rule],
     *,
+    file: str = "file",
     text: str = "text",
     domains: Sequence[str] = (),
     known: DataFrame | None = None,
@@ -34,28 +36,11 @@ def scan_contents(
 ) -> DataFrame:
     """Findings by content: ``(content_md5, ruleset, type, line, snippet, severity)``.
 
-    Every distinct non-empty text gives at least one row; one without findings a
-    row of nulls, so that it counts as scanned.  Copies of a text are folded
-    before the shuffle and scanned once.  Contents in ``known`` are left out.
+    Every distinct non-empty text gives a row of nulls, which marks it as scanned,
+    and a row per finding.  Contents in ``known`` are left out.  ``file`` has to
+    identify a row of ``corpus``.
     """
-    key = ruleset_key(rules, domains, options)
-    contents = (
-        corpus.where(F.length(text) > 0)
-        .select(content_hash(F.col(text)).alias("content_md5"), F.col(text).alias("text"))
-        .groupBy("content_md5")
-        .agg(F.first("text").alias("text"))
-    )
-    if known is not None:
-        done = known.where(F.col("ruleset") == key).select("content_md5")
-        contents = contents.join(done, "content_md5", "left_anti")
-    found = scan(contents, rules, file="content_md5", domains=domains).withColumnRenamed(
-        "file", "content_md5"
-    )
-    scanned = contents.select("content_md5")
-    # Both sides come from ``contents`` and keep its partitioning by content_md5.
-    return scanned.join(found, "content_md5", "left").select(
-        "content_md5", F.lit(key).alias("ruleset"), *_FOUND
-    )
+    return _scan_new(corpus, _hashed(corpus, file, text), rules, file, text, domains, known, options)
 
 
 def incremental_scan(
@@ -73,15 +58,36 @@ def incremental_scan(
 
     ``stored`` has the columns of ``scan_contents``.  Stored findings are used
     for every text with the same md5 and rule set, under the current file name.
+    The hashes and the new findings are checkpointed: both results use them, and
+    neither holds any text.
     """
+    ensure_checkpoint_dir(corpus.sparkSession)
     key = ruleset_key(rules, domains, options)
-    fresh = scan_contents(corpus, rules, text=text, domains=domains, known=stored, options=options)
+    hashed = _hashed(corpus, file, text).checkpoint()
+    fresh = _scan_new(corpus, hashed, rules, file, text, domains, stored, options).checkpoint()
     by_content = stored.where(F.col("ruleset") == key).unionByName(fresh).where(F.col("type").isNotNull())
-    files = corpus.where(F.length(text) > 0).select(
-        F.col(file).cast("string").alias("file"), content_hash(F.col(text)).alias("content_md5")
-    )
-    copies = files.groupBy("content_md5").agg(F.count(F.lit(1)).alias("n"))
-    findings = join_hot(
-        files, by_content.select("content_md5", *_FOUND), "content_md5", copies, rows_per_task
-    )
-    return findings.select("file", *_FOUND), fresh
+    copies = hashed.groupBy("content_md5").agg(F.count(F.lit(1)).alias("n"))
+    found = by_content.select("content_md5", *_FOUND)
+    return join_hot(hashed, found, "content_md5", copies, rows_per_task).select("file", *_FOUND), fresh
+
+
+def _hashed(corpus: DataFrame, file: str, text: str) -> DataFrame:
+    name = F.col(file).cast("string").alias("file")
+    return corpus.where(F.length(text) > 0).select(name, content_hash(F.col(text)).alias("content_md5"))
+
+
+def _scan_new(corpus, hashed, rules, file, text, domains, known, options) -> DataFrame:
+    """Scan one file of each content that ``known`` does not have.
+
+    Copies are folded on their hashes, before any shuffle, and one file stands for
+    all.  Texts are then looked up by file, a key without hot values, so they move
+    only if the new files are too many to broadcast.
+    """
+    key = ruleset_key(rules, domains, options)
+    new = hashed.groupBy("content_md5").agg(F.min("file").alias("file"))
+    if known is not None:
+        done = known.where(F.col("ruleset") == key).select("content_md5").distinct()
+        new = new.join(done, "content_md5", "left_anti")
+    texts = corpus.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text")).join(new, "file")
+    found = scan(texts, rules, file="content_md5", domains=domains, mark_scanned=True)
+    return found.select(F.col("file").alias("content_md5"), F.lit(key).alias("ruleset"), *_FOUND)

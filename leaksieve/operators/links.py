@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leaksieve.functions.text import fold_case
 from leaksieve.functions.urls import is_file_url, is_left_out, resolve
 
 
@@ -40,15 +44,33 @@ LINK_REGEXES = (
 )
 
 
-def link_targets(html: Column) -> Column:
-    """Array of the distinct link targets of one page, as written."""
-    found = [F.regexp_extract_all(html, F.lit(f"(?diuU){regex}"), 1) for regex in LINK_REGEXES]
-    return F.array_distinct(F.concat(*found))
+_FROM_QUOTE = r"[\"']([^\"']*"
+
+
+def _fixed_part(regex: str) -> str:
+    """Path every link of a regex holds, if it seeks one between quotes."""
+    path = re.match("/[a-z/-]*", regex.removeprefix(_FROM_QUOTE))
+    return path[0] if path else ""
+
 
+def extract_links(
+    pages: DataFrame, *, url: str = "url", html: str = "html", keep: Sequence[str] = ()
+) -> DataFrame:
+    """``(url, link, *keep)``: each page's distinct link targets, as written.
 
-def extract_links(pages: DataFrame, *, url: str = "url", html: str = "html", keep=()) -> DataFrame:
-    """``(url, link, *keep)``: each page's distinct link targets, as written."""
-    return pages.select(F.col(url).alias("url"), *keep, F.explode(link_targets(F.col(html))).alias("link"))
+    A regex that seeks a fixed path is run only on pages that hold the path.
+    """
+    sources = pages.select(F.col(url).alias("url"), *keep, F.col(html).alias("_html")).withColumn(
+        "_folded", fold_case(F.col("_html"))
+    )
+    found = []
+    for regex in LINK_REGEXES:
+        links = F.regexp_extract_all("_html", F.lit(f"(?diuU){regex}"), 1)
+        if part := _fixed_part(regex):
+            links = F.when(F.col("_folded").contains(part.upper()), links).otherwise(F.array())
+        found.append(links)
+    targets = F.array_distinct(F.concat(*found))
+    return sources.select("url", *keep, F.explode(targets).alias("link"))
 
 
 def resolve_links(links: DataFrame) -> DataFrame:

@@ -38,12 +38,14 @@ def scan(
     file: str = "file",
     keep: Sequence[str] = (),
     domains: Iterable[str] = (),
+    mark_scanned: bool = False,
 ) -> DataFrame:
     """Findings ``(file, type, line, snippet, severity)`` of every rule in every text.
 
     ``file`` has to identify a row of ``corpus``; where it does not, pass the
     result through ``distinct_findings``.  ``keep`` names further corpus columns
-    to carry.  ``domains`` adds the custom-domain rule.
+    to carry.  ``domains`` adds the custom-domain rule.  ``mark_scanned`` adds one
+    row of nulls per text, so that texts without findings are told from unseen ones.
     """
     domain_rule = custom_domain_rule(domains)
     rules = [*rules, domain_rule] if domain_rule else list(rules)
@@ -51,10 +53,11 @@ def scan(
         raise ValueError("no rules to scan with")
     ids = [F.col(file).cast("string").alias("file"), *keep]
     texts = corpus.select(*ids, F.col(text).alias(_TEXT)).where(F.length(_TEXT) > 0)
-    candidates = _candidates(texts, rules, ["file", *keep])
+    candidates = _candidates(texts, rules, ["file", *keep], mark_scanned)
 
     def of_rule(values: Sequence[str]) -> Column:
-        return F.expr(f"element_at(array({', '.join(map(literal, values))}), {_RULE})")
+        # The mark has the place behind the last rule, where everything is null.
+        return F.expr(f"element_at(array({', '.join(map(literal, values))}, NULL), {_RULE})")
 
     found = _with_matches(candidates, of_rule([rule.java for rule in rules]), ["file", *keep, _RULE])
     numbered = F.array_distinct(
@@ -64,6 +67,9 @@ def scan(
             lambda line, match: F.concat(line, F.lit(":"), F.substring(match, 1, SNIPPET_LENGTH)),
         )
     )
+    if mark_scanned:
+        is_mark = F.col(_RULE) > len(rules)
+        numbered = F.when(is_mark, F.array(F.lit(None).cast("string"))).otherwise(numbered)
     rows = found.select("file", *keep, _RULE, F.explode(numbered).alias("_finding"))
     return rows.select(
         "file",
@@ -112,7 +118,9 @@ def union_findings(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def _candidates(texts: DataFrame, rules: Sequence[Rule], ids: Sequence[str]) -> DataFrame:
+def _candidates(
+    texts: DataFrame, rules: Sequence[Rule], ids: Sequence[str], mark_scanned: bool = False
+) -> DataFrame:
     """One row per text and rule that can hit in it, with the rule's 1-based position.
 
     The expressions are written as SQL: hundreds of them parse at once, where
@@ -131,7 +139,7 @@ def _candidates(texts: DataFrame, rules: Sequence[Rule], ids: Sequence[str]) ->
         gates = [shared.get(test, test) for test in tests]
         return f"CASE WHEN {' AND '.join(gates)} THEN {n} END" if gates else str(n)
 
-    lists = []
+    lists = [f"array({len(rules) + 1})"] if mark_scanned else []
     if plain:
         lists.append(f"array_compact(array({', '.join(candidate(n, rule) for n, rule in plain)}))")
     if len(plain) < len(rules):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leaksieve.functions.urls import file_name_of, netloc_of
 from leaksieve.operators.skew import number_within
+from leaksieve.session import ensure_checkpoint_dir
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
 
@@ -20,6 +21,9 @@ TYPE_ENDINGS = (
 )
 OTHER_ENDING = ".txt"
 
+# Dots at the beginning belong to the stem.
+_STEM_AND_ENDING = r"^(\.*[^.].*?)(\.[^.]*)?$"
+
 
 def route_responses(responses: DataFrame, *, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
     """Keeps status 200 and adds ``kind``: ``page`` (links are followed) or ``file``.
@@ -42,13 +46,15 @@ def ending_for(content_type: Column) -> Column:
 
 
 def name_files(routed: DataFrame) -> DataFrame:
-    """Adds ``host`` and ``file_name``, unlike for two responses of one host and name.
+    """``(url, kind, host, file_name)``, with no file name twice on a host.
 
     The name is the last path part; without a dot in it, ``file_`` and the
     response's number on its host.  Pages end in ``.html``.  Further responses
-    with a name get ``_1``, ``_2``...; all numbers go by the md5 of the URL.
+    with a name get ``_1``, ``_2``...; all numbers go by the md5 of the URL, which
+    has to identify a response.  Bodies are not carried along.
     """
-    hosted = routed.withColumn("host", netloc_of(F.col("url")))
+    ensure_checkpoint_dir(routed.sparkSession)
+    hosted = routed.select("url", "kind", "content_type", netloc_of(F.col("url")).alias("host"))
     numbered = number_within(hosted, ["host"], F.col("url"), "_number")
     last = file_name_of(F.col("url"))
     made_up = F.format_string("file_%04d", F.col("_number"))
@@ -56,11 +62,11 @@ def name_files(routed: DataFrame) -> DataFrame:
         F.concat(made_up, ending_for(F.coalesce("content_type", F.lit(""))))
     )
     as_page = F.when((F.col("kind") == "page") & ~name.endswith(".html"), F.concat(name, F.lit(".html")))
-    named = numbered.withColumn("_name", F.coalesce(as_page, name)).drop("_number")
+    # Numbering reads its input twice; the first numbers are kept for the second.
+    named = numbered.select("url", "kind", "host", F.coalesce(as_page, name).alias("_name")).checkpoint()
     repeated = number_within(named, ["host", "_name"], F.col("url"), "_repeat")
-    stem = F.regexp_extract("_name", r"^(\.*[^.].*?)(\.[^.]*)?$", 1)
-    ending = F.expr("substring(_name, length(regexp_extract(_name, '^(\\\\.*[^.].*?)(\\\\.[^.]*)?$', 1)) + 1)")
+    stem = F.regexp_extract("_name", _STEM_AND_ENDING, 1)
+    ending = F.regexp_extract("_name", _STEM_AND_ENDING, 2)
     unlike = F.concat(stem, F.lit("_"), F.col("_repeat").cast("string"), ending)
-    return repeated.withColumn(
-        "file_name", F.when(F.col("_repeat") == 0, F.col("_name")).otherwise(unlike)
-    ).drop("_name", "_repeat")
+    file_name = F.when(F.col("_repeat") == 0, F.col("_name")).otherwise(unlike)
+    return repeated.select("url", "kind", "host", file_name.alias("file_name"))
