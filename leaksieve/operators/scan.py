@@ -94,7 +94,10 @@ def search(
     ids = [F.col(file).cast("string").alias("file"), *keep]
     texts = corpus.select(*ids, F.col(text).alias(_TEXT)).where(F.col(_TEXT).contains(term))
     found = _with_matches(texts, F.lit("(?d)" + quote(term)), ["file", *keep])
-    rows = found.select("file", *keep, F.explode("_lines").alias("line"))
+    # Not a bare column: Spark would infer a filter on it and push the search below
+    # any exchange of the corpus, there to run a second time.
+    lines = F.filter("_lines", lambda line: line > 0)
+    rows = found.select("file", *keep, F.explode(lines).alias("line"))
     return rows.select(
         "file",
         *keep,
