@@ -29,6 +29,9 @@ _WORD_BEFORE_EQUALS = r"(?<![A-Za-z0-9_])([A-Za-z0-9_]++)="
 
 _TEXT, _FOLDED, _RULE = "_text", "_folded", "_rule"
 
+# Places behind the last rule: the mark of a scanned text, all keyword rules at once.
+_MARK, _KEYWORDS = 1, 2
+
 
 def scan(
     corpus: DataFrame,
@@ -55,32 +58,41 @@ def scan(
     texts = corpus.select(*ids, F.col(text).alias(_TEXT)).where(F.length(_TEXT) > 0)
     candidates = _candidates(texts, rules, ["file", *keep], mark_scanned)
 
-    def of_rule(values: Sequence[str]) -> Column:
-        # The mark has the place behind the last rule, where everything is null.
-        return F.expr(f"element_at(array({', '.join(map(literal, values))}, NULL), {_RULE})")
+    def of_rule(values: Sequence[str], rule: Column) -> Column:
+        # The places behind the last rule are no rules, and everything is null there.
+        listed = F.expr(f"array({', '.join(map(literal, values))}, NULL, NULL)")
+        return F.element_at(listed, rule)
 
-    found = _with_matches(candidates, of_rule([rule.java for rule in rules]), ["file", *keep, _RULE])
-    numbered = F.array_distinct(
-        F.zip_with(
-            "_lines",
-            "_matches",
-            lambda line, match: F.concat(line, F.lit(":"), F.substring(match, 1, SNIPPET_LENGTH)),
-        )
-    )
+    rule = F.col(_RULE)
+    patterns = of_rule([r.java for r in rules], rule)
+    found = _with_matches(candidates, patterns, ["file", *keep, _RULE, _TEXT])
+    by_rule = F.array_distinct(F.zip_with("_lines", "_matches", lambda line, match: _packed(rule, line, match)))
     if mark_scanned:
-        is_mark = F.col(_RULE) > len(rules)
-        numbered = F.when(is_mark, F.array(F.lit(None).cast("string"))).otherwise(numbered)
-    rows = found.select("file", *keep, _RULE, F.explode(numbered).alias("_finding"))
+        unfound = F.array(F.lit(None).cast("string"))
+        by_rule = F.when(rule == len(rules) + _MARK, unfound).otherwise(by_rule)
+    if any(r.keywords for r in rules):
+        by_keyword = F.expr(_keyword_findings(rules))
+        by_rule = F.when(rule == len(rules) + _KEYWORDS, by_keyword).otherwise(by_rule)
+    number = F.split_part("_finding", F.lit(":"), F.lit(1))
+    line = F.split_part("_finding", F.lit(":"), F.lit(2))
+    rows = found.select("file", *keep, F.explode(by_rule).alias("_finding")).select(
+        "file", *keep, "_finding", number.cast("int").alias(_RULE), line.alias("_line")
+    )
     return rows.select(
         "file",
         *keep,
-        of_rule([rule.name for rule in rules]).alias("type"),
-        F.substring_index("_finding", ":", 1).cast("int").alias("line"),
-        F.expr("substring(_finding, locate(':', _finding) + 1)").alias("snippet"),
-        of_rule([rule.severity for rule in rules]).alias("severity"),
+        of_rule([r.name for r in rules], rule).alias("type"),
+        F.col("_line").cast("int").alias("line"),
+        F.expr(f"substring(_finding, length(string({_RULE})) + length(_line) + 3)").alias("snippet"),
+        of_rule([r.severity for r in rules], rule).alias("severity"),
     )
 
 
+def _packed(rule: Column, line: Column, match: Column) -> Column:
+    """``rule:line:snippet``; as one string, distinct takes a hash set and not pairs."""
+    return F.concat_ws(":", rule, line, F.substring(match, 1, SNIPPET_LENGTH))
+
+
 def search(
     corpus: DataFrame, term: str, *, text: str = "text", file: str = "file", keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -142,11 +154,14 @@ def _candidates(
         gates = [shared.get(test, test) for test in tests]
         return f"CASE WHEN {' AND '.join(gates)} THEN {n} END" if gates else str(n)
 
-    lists = [f"array({len(rules) + 1})"] if mark_scanned else []
+    lists = [f"array({len(rules) + _MARK})"] if mark_scanned else []
     if plain:
         lists.append(f"array_compact(array({', '.join(candidate(n, rule) for n, rule in plain)}))")
     if len(plain) < len(rules):
-        lists.append(_keyword_candidates(rules))
+        known = ", ".join(literal(keyword) for rule in rules for keyword in rule.keywords)
+        holds_one = f"arrays_overlap({_words_before_equals(_TEXT)}, array({known}))"
+        gated = f"CASE WHEN contains({_TEXT}, '=') THEN {holds_one} ELSE false END"
+        lists.append(f"array_compact(array(CASE WHEN {gated} THEN {len(rules) + _KEYWORDS} END))")
     found = f"concat({', '.join(lists)})" if len(lists) > 1 else lists[0]
     return prepared.select(*ids, _TEXT, F.expr(f"explode({found})").alias(_RULE))
 
@@ -164,24 +179,47 @@ def _tests(rule: Rule) -> list[str]:
     return [*tests, f"rlike({_TEXT}, {literal(rule.needs_regex)})"] if rule.needs_regex else tests
 
 
-def _keyword_candidates(rules: Sequence[Rule]) -> str:
-    """Positions of the ``keyword=value`` rules whose keyword stands before a ``=``.
+def _words_before_equals(text: str) -> str:
+    return f"regexp_extract_all({text}, {literal(_WORD_BEFORE_EQUALS)}, 1)"
+
 
-    One pass lists the words before ``=``; rules are then found by key, however
-    many there are.
+def _keyword_findings(rules: Sequence[Rule]) -> str:
+    """SQL for the packed findings of all ``keyword=value`` rules of one text.
+
+    Such a match never leaves a run of non-blank characters, and a run holds at
+    most one per rule, because its value takes the rest of the run.  So the runs
+    with a ``=`` are listed with their line, their words before ``=`` looked up,
+    and only the rules found that way tried on them: one pass over the text,
+    however many rules there are and however many of them hit.
     """
     by_keyword: dict[str, list[int]] = {}
     for n, rule in enumerate(rules, 1):
         for keyword in rule.keywords:
             by_keyword.setdefault(keyword, []).append(n)
-    known = ", ".join(map(literal, by_keyword))
+    known = f"array({', '.join(map(literal, by_keyword))})"
     rules_of = ", ".join(f"array({', '.join(map(str, ns))})" for ns in by_keyword.values())
-    words = f"regexp_extract_all({_TEXT}, {literal(_WORD_BEFORE_EQUALS)}, 1)"
+    patterns = ", ".join(literal(rule.java) if rule.keywords else "NULL" for rule in rules)
+    matched = f"regexp_extract(run.run, element_at(array({patterns}), rule), 0)"
     return f"""
-        CASE WHEN contains({_TEXT}, '=') THEN array_distinct(flatten(transform(
-            array_intersect({words}, array({known})),
-            word -> element_at(map_from_arrays(array({known}), array({rules_of})), word)
-        ))) ELSE cast(array() AS array<int>) END
+        filter(array_distinct(flatten(transform(
+            flatten(transform(
+                filter(
+                    transform(split({_TEXT}, '\\n', -1), (line, n) -> named_struct('n', n + 1, 'line', line)),
+                    numbered -> contains(numbered.line, '=')
+                ),
+                numbered -> transform(
+                    filter(split(numbered.line, '(?U)\\\\s+', -1), run -> contains(run, '=')),
+                    run -> named_struct('n', numbered.n, 'run', run)
+                )
+            )),
+            run -> transform(
+                flatten(transform(
+                    array_intersect({_words_before_equals('run.run')}, {known}),
+                    word -> element_at(map_from_arrays({known}, array({rules_of})), word)
+                )),
+                rule -> concat_ws(':', rule, run.n, substring({matched}, 1, {SNIPPET_LENGTH}))
+            )
+        ))), found -> NOT rlike(found, '^[0-9]+:[0-9]+:$'))
     """
 
 
@@ -196,8 +234,7 @@ def _with_matches(texts: DataFrame, pattern: Column, ids: Sequence[str]) -> Data
     holds_marker = text.contains(_OPEN) | text.contains(_CLOSE)
     own_tag = F.concat(F.lit(_OPEN), F.md5(text.cast("binary")))
     framed = texts.select(
-        *ids,
-        _TEXT,
+        *dict.fromkeys([*ids, _TEXT]),
         F.when(holds_marker, F.concat(own_tag, F.lit("<"))).otherwise(F.lit(_OPEN)).alias("_open"),
         F.when(holds_marker, F.concat(own_tag, F.lit(">"))).otherwise(F.lit(_CLOSE)).alias("_close"),
         pattern.alias("_pattern"),

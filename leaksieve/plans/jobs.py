@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leaksieve.functions.severity import severity_rank
 from leaksieve.operators.crawl import MAX_DEPTH, crawl
 from leaksieve.operators.dedupe import clean_duplicates
 from leaksieve.operators.links import page_edges
-from leaksieve.operators.report import run_stats
+from leaksieve.operators.report import run_stats, severity_type_counts
 from leaksieve.operators.scan import scan, search
 from leaksieve.rules.model import Rule
 from leaksieve.sources.findings import read_findings, write_findings
@@ -69,8 +70,5 @@ def web_run(
 
 def worst_first(clean: DataFrame) -> DataFrame:
     """How many distinct findings of each severity and type."""
-    from leaksieve.functions.severity import severity_rank
-    from leaksieve.operators.report import severity_type_counts
-
     counts = severity_type_counts(clean)
     return counts.withColumn("severity_rank", severity_rank(F.col("severity"))).orderBy("severity_rank", "type")

@@ -111,3 +111,18 @@ def test_long_runs_do_not_exhaust_the_stack(spark):
     assert not any(f[1] == "IBAN" and f[0] == "1" for f in found)
     long_iban = corpus(spark, "GB82WEST" + " AB12" * 60_000 + ".")
     assert [f[1] for f in as_tuples(scan(long_iban, [r for r in standard_rules() if r.name == "IBAN"]))] == ["IBAN"]
+
+
+def test_keyword_rules_agree_with_python_on_random_runs(spark):
+    rules = [
+        keyword_rule("Serial", ["serial", "device_id"]),
+        keyword_rule("Device", ["device_id", "ssid"]),
+        keyword_rule("Long", ["a_rather_long_keyword"]),
+    ]
+    parts = ["serial", "device_id", "ssid", "a_rather_long_keyword", "=", "=", " ", "\n", "\t", " ", " ", "\r\n", "x", "é", "-", ";", "((", "_", "9", "x" * 60, ":"]
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 30))) for _ in range(3_000)]
+    found = as_tuples(scan(corpus(spark, *texts), rules))
+    expected = by_hand([(str(n), t) for n, t in enumerate(texts)], rules)
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert len(expected) > 300
