@@ -37,7 +37,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     queries = build()
-    spark.range(1000).selectExpr("sum(id)").collect()  # start the session before the clock
+    # One untimed run of the first query, so that the start of the JVM is in no query's time.
+    queries[HEADLINE[0]][0](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         started = time.perf_counter()

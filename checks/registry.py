@@ -115,17 +115,21 @@ def _scan_domains_sql() -> str:
     return sql.scan(corpus, [custom_domain_rule(DOMAINS)])
 
 
+# SQL has no escapes to decode, so letters it would turn into others are masked first.
+_MASK = r"[^\x20-\x5b\x5d-\x7e\n]"
+
+
 def _scan_unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    escaped = F.concat("text", F.lit(r"\npass"), F.lit(r"word=x"), F.col("doc_id"), F.lit(r"\x21"))
-    source = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    corpus = spread(corpus_from(source, "doc_id", escaped))
+    plain = F.regexp_replace("text", _MASK, "?")
+    escaped = F.concat(plain, F.lit(r"\npass"), F.lit(r"word=x"), F.col("doc_id"), F.lit(r"\x21"))
+    corpus = spread(corpus_from(table(spark, sf_dir, "documents"), "doc_id", escaped))
     return scan(corpus.withColumn("text", text_functions.unescape(F.col("text"))), standard_rules())
 
 
 def _scan_unescaped_sql() -> str:
     corpus = (
-        "SELECT CAST(doc_id AS VARCHAR) AS file, text || chr(10) || 'password=x' || doc_id || '!' AS text "
-        "FROM documents WHERE strlen(text) = length(text)"
+        f"SELECT CAST(doc_id AS VARCHAR) AS file, regexp_replace(text, '{_MASK}', '?', 'g') "
+        "|| chr(10) || 'password=x' || doc_id || '!' AS text FROM documents"
     )
     return sql.scan(corpus, standard_rules())
 
@@ -295,7 +299,7 @@ def _decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", r"[^\x20-\x5b\x5d-\x7e\n]", "?")
+    plain = F.regexp_replace("text", _MASK, "?")
     escaped = F.concat(plain, F.lit(r"\u0041\u00e9\x21\101"), F.lit(r"\n"), F.col("lang"))
     source = spread(table(spark, sf_dir, "documents").select("doc_id", escaped.alias("text")))
     return source.select("doc_id", text_functions.unescape(F.col("text")).alias("text"))
@@ -501,7 +505,7 @@ _TREE = f"""
         || '<script src="/static/s' || page_id || '.js"></script>' AS html
     FROM pages
 """
-# Pages of secure sites are where the crawls start.
+# Every page of a mobile host is where one crawl starts.
 _SEED_WHERE = "stored_url LIKE 'https://m.%'"
 
 
