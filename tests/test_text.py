@@ -29,8 +29,8 @@ def test_normalised_hash(spark):
 
 def test_unescape(spark):
     cases = {
-        r"A": "A",
-        "é" + r"A": "Ã©A",
+        r"\u0041": "A",
+        "é" + r"\u0041": "Ã©A",
         r"\x4": r"\x4",
         "l1\r\nl2" + r"\x4": "l1\nl2" + r"\x4",
         r"lone \ud83d": r"lone \ud83d",
