@@ -74,7 +74,7 @@ class LineRuns:
 def line_counts(texts: DataFrame, min_chars: int) -> DataFrame:
     """Key hashes and in how many rows of ``text`` they occur, folded before the shuffle."""
     keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
-    each = texts.select(F.explode(keys).alias("key")).where(F.length("key") >= min_chars)
+    each = texts.select(F.explode_outer(keys).alias("key")).where(F.length("key") >= min_chars)
     return each.select(*wide_hash(F.col("key"))).groupBy(*KEY).agg(F.count("*").alias("docs"))
 
 
@@ -100,7 +100,7 @@ def dedup_lines(
     frequent = saved(runs.frequent(), "frequent-lines")
 
     text_hash = [c.alias(n) for c, n in zip(wide_hash(F.col("text")), ("t1", "t2"), strict=True)]
-    lines = base.select(*text_hash, F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    lines = base.select(*text_hash, F.posexplode_outer(lines_of(F.col("text"))).alias("at", "line"))
     keyed = lines.select("t1", "t2", "at", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     hit = keyed.select("t1", "t2", "at", *wide_hash(F.col("key"))).join(frequent, KEY, "left_semi")
     dropped = hit.groupBy("t1", "t2").agg(F.collect_set("at").alias("dropped"))

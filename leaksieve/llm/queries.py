@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from leaksieve.llm import exact_dedup, language_id, line_dedup, packing, simhash_dedup
+from leaksieve.llm import decontamination, exact_dedup, language_id, line_dedup, packing, simhash_dedup
 
 #: name: (query, SQL that gives the same rows, or None where SQL cannot express it).
 QUERIES = {
     "op2_simhash_dedup": (simhash_dedup.op2_simhash_dedup, None),
     "op5_line_dedup": (line_dedup.op5_line_dedup, line_dedup.ORACLE),
     "op7_exact_dedup": (exact_dedup.op7_exact_dedup, exact_dedup.ORACLE),
+    "op8_benchmark_decontamination": (decontamination.op8_benchmark_decontamination, decontamination.ORACLE),
     "op9_language_id": (language_id.op9_language_id, None),
     "op10_best_fit_packing": (packing.op10_best_fit_packing, None),
 }

@@ -112,7 +112,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, groups: int = 6) -> Data
             for number, (mask, before) in enumerate(grid(groups, radius))
         ]
     )
-    placed = prints.select("fp", popcounts(F.col("fp")).alias("pop")).select("fp", "pop", F.explode(cells).alias("c"))
+    placed = prints.select("fp", popcounts(F.col("fp")).alias("pop")).select("fp", "pop", F.explode_outer(cells).alias("c"))
     keyed = placed.select("fp", "pop", "c.cell", F.col("pop").bitwiseAND(F.col("c.mask")).alias("key"), "c.before")
     left, right = keyed.alias("l"), keyed.drop("before").alias("r")
     apart = F.col("l.pop").bitwiseXOR(F.col("r.pop"))
