@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.llm import exact_dedup, language_id, packing, simhash_dedup
+from leaksieve.llm import decontamination, exact_dedup, language_id, packing, simhash_dedup
 from leaksieve.llm.common import saved, table
 
 
@@ -37,8 +37,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, whole or nearly so."""
-    from leaksieve.llm import decontamination
-
     return _without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
 
 
