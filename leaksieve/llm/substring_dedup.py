@@ -3,7 +3,7 @@
 A window is ``WINDOW`` consecutive words of one document. A word goes if a window over it also starts in a
 document with a smaller id; all windows are judged on the input.
 
-Equal windows meet in one shard: each window has an anchor, the least hashed run of three words in it, and a document is cut into
+Equal windows meet in one shard: each window has an anchor, the least hashed pair of words in it, and a document is cut into
 fragments, runs of windows with the same anchor, that go to the anchor's shard. There
 the fragments' texts are stored once each and indexed by an FM-index; every fragment is streamed against it by backward
 search, which gives the interval of places where each window occurs, and the least document among them.
@@ -36,10 +36,10 @@ from leaksieve.llm.common import binary, saved, table
 from leaksieve.llm.fm_index import FMIndex
 
 WINDOW = 13
-ANCHOR = 3
+ANCHOR = 2
 #: Text bytes of fragments a shard should hold, and text bytes that a task folds at a time.
 SHARD_BYTES = 24 << 20
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Rows that are asked for anchors of an uncommon share, and the least share that is one.
 SAMPLE_ROWS = 4000
 HOT_SHARE = 1e-4
@@ -64,7 +64,7 @@ def _runs(hashes: np.ndarray, length: int, at: np.ndarray | None = None) -> np.n
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -112,8 +112,9 @@ class _Group:
 def _documents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[list[tuple[int, list[bytes]]]]:
     """Groups of (id, words), least ids first, of documents that have a window."""
     held, size = [], 0
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
+    parts = (batch.slice(low, 500) for batch in batches for low in range(0, batch.num_rows, 500))
+    for part in parts:
+        for doc_id, text in zip(part.column(0).to_pylist(), binary(part.column(1)), strict=True):
             if doc_id is not None and text and len(words := text.split()) >= window:
                 held.append((doc_id, words))
                 size += len(text)
@@ -197,7 +198,9 @@ def _least_documents(pieces: list[list[bytes]], owner: np.ndarray, window: int)
     of = np.repeat(np.arange(len(pieces)), n)
     starts = begin[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     index = FMIndex(text, window)
-    matched, low, high = index.search(starts, window)
+    step = 1 << 18
+    found = [index.search(starts[at : at + step], window) for at in range(0, len(starts), step)]
+    low, high = (np.concatenate(part) for part in list(zip(*found, strict=True))[1:])
     least = owner[of].copy()
     shared = high - low > 1
     if shared.any():
@@ -314,7 +317,7 @@ def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(low, 1000) for whole in batches for low in range(0, whole.num_rows, 1000)):
         rows = []
         for text, found in zip(binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             words = (text or b"").split()
