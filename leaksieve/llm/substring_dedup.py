@@ -3,24 +3,23 @@
 A window is ``WINDOW`` consecutive words of one document. A word goes if a window over it also starts in a
 document with a smaller id; all windows are judged on the input.
 
-Equal windows meet in one shard: each window has an anchor, the least hashed pair of words in it, and a document is cut into
-fragments, runs of windows with the same anchor, that go to the anchor's shard. There
+Equal windows meet in one shard: each window has an anchor, the least hashed run of five words in it, and a document is cut into
+fragments, runs of windows with the same anchor. Anchors are counted first, as hashes, and only fragments whose
+anchor occurs again go to its shard. There
 the fragments' texts are stored once each and indexed by an FM-index; every fragment is streamed against it by backward
 search, which gives the interval of places where each window occurs, and the least document among them.
 Words travel as text, so nothing rests on hashes but the routing.
 
-Copies are folded where they are read: of equal fragments in one task's group only the least document's
+Copies are folded where they are read: of equal fragments in one bucket of documents only the least document's
 travels, the others are known to be covered. Anchors that hold a large share of a sample are
 split by the hash of the whole window, so that a passage in a third of all rows has no shard of its own.
 
 Null or empty texts, and those shorter than a window, lose nothing. Rows without an id are compared with
-nothing. Rows with the same id are one document and never cover each other; if their numbers of words are equal,
-their texts should be.
+nothing. Rows with the same id never cover each other, whether their texts are equal or not.
 """
 
 from __future__ import annotations
 
-import hashlib
 import pickle
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,14 +35,16 @@ from leaksieve.llm.common import binary, saved, table
 from leaksieve.llm.fm_index import FMIndex
 
 WINDOW = 13
-ANCHOR = 2
-#: Text bytes of fragments a shard should hold, and text bytes that a task folds at a time.
-SHARD_BYTES = 24 << 20
-GROUP_BYTES = 4 << 20
+ANCHOR = 5
+#: Text bytes of the input per shard of the index, and per bucket of documents.
+SHARD_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
 #: Rows that are asked for anchors of an uncommon share, and the least share that is one.
 SAMPLE_ROWS = 4000
 HOT_SHARE = 1e-4
 HOT_LEAST = 16
+#: Ordinal in its bucket, id, words.
+Row = tuple[int, int, list[bytes]]
 _ODD = [np.uint64(x | 1) for x in np.random.default_rng(7).integers(1 << 62, 1 << 63, 64, dtype=np.int64)]
 
 
@@ -73,10 +74,10 @@ class _WordHash(dict):
 class _Group:
     """Fragments of some documents: first and last window, anchor, whether it was split as a hot one."""
 
-    def __init__(self, documents: list[tuple[int, list[bytes]]], hot: np.ndarray, hashed: _WordHash, window: int):
-        words = [word for _, own in documents for word in own]
+    def __init__(self, documents: list[Row], hot: np.ndarray, hashed: _WordHash, window: int):
+        words = [word for *_, own in documents for word in own]
         self.hashes = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
-        self.counts = np.array([len(own) for _, own in documents])
+        self.counts = np.array([len(own) for *_, own in documents])
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.text, self.ends = b" ".join(words), np.cumsum(lengths) - 1
         self.starts = self.ends - lengths + 1
@@ -109,20 +110,20 @@ class _Group:
         self.place = self.first - doc_start[self.doc]
 
 
-def _documents(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Groups of (id, words), least ids first, of documents that have a window."""
-    held, size = [], 0
-    parts = (batch.slice(low, 500) for batch in batches for low in range(0, batch.num_rows, 500))
-    for part in parts:
-        for doc_id, text in zip(part.column(0).to_pylist(), binary(part.column(1)), strict=True):
-            if doc_id is not None and text and len(words := text.split()) >= window:
-                held.append((doc_id, words))
-                size += len(text)
-                if size >= GROUP_BYTES:
-                    yield sorted(held, key=lambda d: d[0])
-                    held, size = [], 0
-    if held:
-        yield sorted(held, key=lambda d: d[0])
+def _rows(docs: pa.Table) -> tuple[list[int], list[tuple[int | None, bytes]]]:
+    """The rows of a bucket in an order of their own: by id, then text, rows without an id last."""
+    docs = docs.combine_chunks()
+    rows = list(zip(docs["doc_id"].to_pylist(), binary(docs["text"].combine_chunks()), strict=True))
+    rows = [(doc_id, text or b"") for doc_id, text in rows]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, rows[k][1]))
+    return order, [rows[k] for k in order]
+
+
+def _documents(docs: pa.Table, window: int) -> list[Row]:
+    """(ordinal, id, words) of the bucket's documents that have an id and a window, least ids first."""
+    _, rows = _rows(docs)
+    split = ((k, doc_id, text.split()) for k, (doc_id, text) in enumerate(rows) if doc_id is not None)
+    return [row for row in split if len(row[2]) >= window]
 
 
 def _pack(value: tuple) -> bytes:
@@ -133,55 +134,85 @@ def _unpack(blob: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
 
-def _cut(batches: Iterator[pa.RecordBatch], shards: int, hot: np.ndarray, window: int) -> Iterator[pa.RecordBatch]:
-    """(shard, blob): the folded fragments of a group for each shard, and what is known to be covered."""
-    hashed = _WordHash()
-    for documents in _documents(batches, window):
-        group = _Group(documents, hot, hashed, window)
-        begin, end = group.starts[group.first].tolist(), group.ends[group.last + window - 1].tolist()
-        shard = (group.key % np.uint64(shards)).astype(np.int64).tolist()
-        tags = (group.key >> np.uint64(32)).astype(np.uint32).tolist()
-        docs, places, windows = group.doc.tolist(), group.place.tolist(), (group.last - group.first + 1).tolist()
-        # Per shard: fragment -> its number; texts, tags, documents and their places; documents covered here.
-        known: dict[bytes, int] = {}
-        out: dict[int, tuple] = defaultdict(lambda: ([], [], [], [], [], [], [], []))
-        for a, b, s, tag, doc, place, n in zip(begin, end, shard, tags, docs, places, windows, strict=True):
-            piece = group.text[a:b]
-            texts, own_tags, first_docs, of, at, settled, settled_at, settled_n = out[s]
-            number = known.setdefault(piece, len(texts))  # equal fragments have equal anchors, so one shard
-            if number == len(texts):
-                texts.append(piece)
-                own_tags.append(tag)
-                first_docs.append(doc)
-            if documents[first_docs[number]][0] == documents[doc][0]:
-                of.append(number)
-                at.append(place)
-            else:
-                settled.append(doc)
-                settled_at.append(place)
-                settled_n.append(n + window - 1)
-        ids = np.array([doc_id for doc_id, _ in documents], np.int64)
-        rows = []
-        for s, (texts, own_tags, first_docs, of, at, settled, settled_at, settled_n) in out.items():
-            first_docs, settled = np.array(first_docs, np.int64), np.array(settled, np.int64)
-            blob = (
-                b"\n".join(texts),
-                np.array(own_tags, np.uint32).tobytes(),
-                ids[first_docs].tobytes(),
-                group.counts[first_docs].astype(np.int32).tobytes(),
-                np.array(of, np.int32).tobytes(),
-                np.array(at, np.int32).tobytes(),
-                ids[settled].tobytes(),
-                group.counts[settled].astype(np.int32).tobytes(),
-                np.array(settled_at, np.int32).tobytes(),
-                np.array(settled_n, np.int32).tobytes(),
-            )
-            rows.append((s, _pack(blob)))
-        if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())],
-                ["shard", "blob"],
-            )
+def _table(name: str, rows: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({name: pa.array([k for k, _ in rows], pa.int32()), "blob": pa.array([b for _, b in rows], pa.binary())})
+
+
+def _anchors(docs: pa.Table, shards: int, hot: np.ndarray, window: int) -> pa.Table:
+    """(shard, blob): the distinct anchors of a bucket, for each shard, and whether they occur there more than once."""
+    documents = _documents(docs, window)
+    if not documents:
+        return _table("shard", [])
+    keys, counts = np.unique(_Group(documents, hot, _WordHash(), window).key, return_counts=True)
+    shard = (keys % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable").astype(np.int32)
+    numbers, heads = np.unique(shard[order], return_index=True)
+    bucket, rows = docs["bucket"][0].as_py(), []
+    for number, places in zip(numbers.tolist(), np.split(order, heads[1:]), strict=True):
+        tags = (keys[places] >> np.uint64(32)).astype(np.uint32)
+        more = np.packbits(counts[places] > 1)
+        rows.append((number, _pack((bucket, places.tobytes(), tags.tobytes(), more.tobytes()))))
+    return _table("shard", rows)
+
+
+def _repeated(anchors: pa.Table) -> pa.Table:
+    """(bucket, blob): which of a bucket's anchors occur anywhere else, or there more than once."""
+    buckets, places, tags, more = [], [], [], []
+    for blob in anchors["blob"]:
+        bucket, place, tag, bits = _unpack(blob.as_py())
+        buckets.append(bucket)
+        places.append(np.frombuffer(place, np.int32))
+        tags.append(np.frombuffer(tag, np.uint32))
+        more.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(tags[-1])))
+    _, of = np.unique(np.concatenate(tags), return_inverse=True)
+    often = (np.bincount(of, 1 + np.concatenate(more)) > 1)[of]
+    parts = np.split(often, np.cumsum([len(place) for place in places])[:-1])
+    rows = zip(buckets, places, parts, strict=True)
+    return _table("bucket", [(bucket, place[part].tobytes()) for bucket, place, part in rows if part.any()])
+
+
+def _cut(docs: pa.Table, repeated: pa.Table, shards: int, hot: np.ndarray, window: int) -> pa.Table:
+    """(shard, blob): a bucket's folded fragments at repeated anchors, for each shard, and what is known to be covered."""
+    documents = _documents(docs, window) if len(docs) and len(repeated) else []
+    if not documents:
+        return _table("shard", [])
+    group = _Group(documents, hot, _WordHash(), window)
+    keys, of = np.unique(group.key, return_inverse=True)
+    wanted = np.zeros(len(keys), bool)
+    for blob in repeated["blob"]:
+        wanted[np.frombuffer(blob.as_py(), np.int32)] = True
+    taken = np.flatnonzero(wanted[of])
+    first, last, key = group.first[taken], group.last[taken], group.key[taken]
+    begin, end = group.starts[first].tolist(), group.ends[last + window - 1].tolist()
+    shard = (key % np.uint64(shards)).astype(np.int64).tolist()
+    tags = (key >> np.uint64(32)).astype(np.uint32).tolist()
+    docs_of, places, windows = group.doc[taken].tolist(), group.place[taken].tolist(), (last - first + 1).tolist()
+    ordinals, ids = [row[0] for row in documents], [row[1] for row in documents]
+    known: dict[bytes, int] = {}
+    # Per shard: texts, tags and least documents of its fragments; their places; spans covered by one of the bucket.
+    out: dict[int, tuple] = defaultdict(lambda: ([], [], [], [], [], [], [], [], []))
+    for a, b, s, tag, doc, place, n in zip(begin, end, shard, tags, docs_of, places, windows, strict=True):
+        piece = group.text[a:b]
+        texts, own_tags, least, of_piece, of_doc, at, settled, settled_at, settled_n = out[s]
+        number = known.setdefault(piece, len(texts))  # equal fragments have equal anchors, so one shard
+        if number == len(texts):
+            texts.append(piece)
+            own_tags.append(tag)
+            least.append(ids[doc])
+        if least[number] == ids[doc]:
+            of_piece.append(number)
+            of_doc.append(ordinals[doc])
+            at.append(place)
+        else:
+            settled.append(ordinals[doc])
+            settled_at.append(place)
+            settled_n.append(n + window - 1)
+    kinds = [np.uint32, np.int64, *[np.int32] * 6]
+    bucket, rows = docs["bucket"][0].as_py(), []
+    for s, (texts, *columns) in out.items():
+        packed = [np.array(column, kind).tobytes() for column, kind in zip(columns, kinds, strict=True)]
+        rows.append((s, _pack((bucket, b"\n".join(texts), *packed))))
+    return _table("shard", rows)
 
 
 def _least_documents(pieces: list[list[bytes]], owner: np.ndarray, window: int) -> np.ndarray:
@@ -215,80 +246,103 @@ def _least_documents(pieces: list[list[bytes]], owner: np.ndarray, window: int)
 
 
 def _search(shard: pa.Table, window: int) -> pa.Table:
-    """Spans of covered words of the fragments in one shard: a row per document."""
+    """(bucket, blob): covered spans of the fragments in one shard, as ordinals of documents, first and last words."""
     texts: list[bytes] = []
-    columns: list[list[np.ndarray]] = [[] for _ in range(9)]
-    kinds = [np.uint32, np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32, np.int32]
+    kinds = [np.uint32, np.int64, *[np.int32] * 6]
+    columns: list[list[np.ndarray]] = [[] for _ in kinds]
+    homes, done_homes = [], []
     for blob in shard["blob"]:
-        joined, *rest = _unpack(blob.as_py())
-        offset = len(texts)
-        texts.extend(joined.split(b"\n") if rest[0] else [])
-        for column, kind, data in zip(columns, kinds, rest, strict=True):
-            column.append(np.frombuffer(data, kind))
-        columns[3][-1] = columns[3][-1].astype(np.int64) + offset
-    tags, ids, counts, of, at, done_ids, done_counts, done_at, done_n = (np.concatenate(c) for c in columns)
-
-    # A fragment whose anchor no other one has shares no window.
-    _, tag_of, tag_n = np.unique(tags, return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(tag_n[tag_of] > 1)
+        bucket, joined, *rest = _unpack(blob.as_py())
+        found = [np.frombuffer(data, kind) for kind, data in zip(kinds, rest, strict=True)]
+        found[2] = found[2].astype(np.int64) + len(texts)
+        texts.extend(joined.split(b"\n"))
+        homes.append(np.full(len(found[2]), bucket, np.int32))
+        done_homes.append(np.full(len(found[5]), bucket, np.int32))
+        for column, part in zip(columns, found, strict=True):
+            column.append(part)
+    tags, ids, of, of_doc, at, done, done_at, done_n = (np.concatenate(c) for c in columns)
+
     number: dict[bytes, int] = {}
-    piece_of = np.full(len(texts), -1)
-    for at_text in kept.tolist():
-        piece_of[at_text] = number.setdefault(texts[at_text], len(number))
+    piece_of = np.array([number.setdefault(text, len(number)) for text in texts])
+    del texts
     pieces = [text.split() for text in number]
     owner = np.full(len(pieces), np.iinfo(np.int64).max)
-    np.minimum.at(owner, piece_of[kept], ids[kept])
+    np.minimum.at(owner, piece_of, ids)
     n = np.array([len(words) - window + 1 for words in pieces], np.int64)
     first = np.cumsum(n) - n
     least = np.repeat(owner, n)
+    tag_of = np.unique(tags, return_inverse=True)[1]
     piece_tag = np.zeros(len(pieces), np.int64)
-    piece_tag[piece_of[kept]] = tag_of[kept]
-    several = np.flatnonzero(np.bincount(piece_tag, minlength=len(tag_n) or 1)[piece_tag] > 1)
-    if len(several):  # the others are equal wherever their anchor occurs
+    piece_tag[piece_of] = tag_of
+    several = np.flatnonzero(np.bincount(piece_tag)[piece_tag] > 1)
+    if len(several):  # fragments that have their anchor to themselves share windows with their copies only
         asked = _least_documents([pieces[k] for k in several.tolist()], owner[several], window)
-        place = np.repeat(first[several], n[several]) + (
-            np.arange(n[several].sum()) - np.repeat(np.cumsum(n[several]) - n[several], n[several])
-        )
-        least[place] = asked
-
-    asked = np.flatnonzero(piece_of[of] >= 0)
-    piece = piece_of[of[asked]]
-    each = np.repeat(np.arange(len(asked)), n[piece])
+        step = np.arange(n[several].sum()) - np.repeat(np.cumsum(n[several]) - n[several], n[several])
+        least[np.repeat(first[several], n[several]) + step] = asked
+
+    piece = piece_of[of]
+    each = np.repeat(np.arange(len(of)), n[piece])
     step = np.arange(n[piece].sum()) - np.repeat(np.cumsum(n[piece]) - n[piece], n[piece])
-    covered = least[first[piece[each]] + step] < ids[of[asked[each]]]
-    each, start = each[covered], (at[asked[each]] + step)[covered]
+    covered = least[first[piece[each]] + step] < ids[of[each]]
+    each, start = each[covered], (at[each] + step)[covered]
     new = np.ones(len(each), bool)
     new[1:] = (each[1:] != each[:-1]) | (start[1:] != start[:-1] + 1)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(each))[: len(heads)] - 1
-    source = of[asked[each[heads]]]
-    all_ids = np.concatenate([ids[source], done_ids])
-    all_counts = np.concatenate([counts[source], done_counts])
-    begin = np.concatenate([start[heads], done_at]).astype(np.int32)
-    stop = np.concatenate([start[tails] + window, done_at + done_n]).astype(np.int32)
-
-    order = np.lexsort((begin, all_counts, all_ids))
-    spans = np.stack([begin, stop], axis=1)[order]
-    all_ids, all_counts = all_ids[order], all_counts[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (all_ids[1:] != all_ids[:-1]) | (all_counts[1:] != all_counts[:-1])
-    heads = np.flatnonzero(new)
-    parts = [part.tobytes() for part in np.split(spans, heads[1:])] if len(heads) else []
+    source = each[heads]
+    home = np.concatenate([np.concatenate(homes)[source], *done_homes])
+    spans = np.stack(
+        [
+            np.concatenate([of_doc[source], done]),
+            np.concatenate([start[heads], done_at]),
+            np.concatenate([start[tails] + window, done_at + done_n]),
+        ],
+        axis=1,
+    ).astype(np.int32)
+    order = np.argsort(home, kind="stable")
+    buckets, heads = np.unique(home[order], return_index=True)
+    parts = np.split(spans[order], heads[1:]) if len(heads) else []
+    return _table("bucket", [(b, _pack((part.tobytes(),))) for b, part in zip(buckets.tolist(), parts, strict=True)])
+
+
+def _remove(docs: pa.Table, spans: pa.Table) -> pa.Table:
+    """The bucket's documents without their covered words."""
+    order, rows = _rows(docs)
+    found = [np.frombuffer(_unpack(blob.as_py())[0], np.int32).reshape(-1, 3) for blob in spans["blob"]]
+    found = np.concatenate([np.empty((0, 3), np.int32), *found])
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    bounds = np.searchsorted(found[:, 0], np.arange(len(rows) + 1)).tolist()
+    ids, counts, removed, texts = [], [], [], []
+    for k, (doc_id, text) in enumerate(rows):
+        words = text.split()
+        total = len(words)
+        if bounds[k] < bounds[k + 1]:
+            edge = np.zeros(total + 1, np.int64)
+            np.add.at(edge, found[bounds[k] : bounds[k + 1], 1], 1)
+            np.add.at(edge, found[bounds[k] : bounds[k + 1], 2], -1)
+            words = [words[at] for at in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+        ids.append(doc_id)
+        counts.append(total)
+        removed.append(total - len(words))
+        texts.append(b" ".join(words))
     return pa.table(
         {
-            "doc_id": pa.array(all_ids[heads], pa.int64()),
-            "n_words": pa.array(all_counts[heads].astype(np.int32), pa.int32()),
-            "spans": pa.array(parts, pa.binary()),
+            "doc_id": pa.array(ids, pa.int64()),
+            "n_words": pa.array(counts, pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()),
+            "text": pa.array(texts, pa.binary()).cast(pa.string()),
         }
     )
 
 
 def _anchor_counts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    hashed = _WordHash()
-    for documents in _documents(batches, window):
-        group = _Group(documents, np.empty(0, np.uint64), hashed, window)
-        keys, counts = np.unique(group.key, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["anchor", "n"])
+    for batch in batches:
+        for low in range(0, batch.num_rows, 500):
+            documents = _documents(pa.Table.from_batches([batch.slice(low, 500)]), window)
+            if documents:
+                group = _Group(documents, np.empty(0, np.uint64), _WordHash(), window)
+                keys, counts = np.unique(group.key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["anchor", "n"])
 
 
 def hot_anchors(texts: DataFrame, rows: int, window: int) -> np.ndarray:
@@ -304,47 +358,26 @@ def hot_anchors(texts: DataFrame, rows: int, window: int) -> np.ndarray:
     return np.array([row.anchor for row in hot], np.int64).view(np.uint64)
 
 
-def covered_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, spans): covered word ranges as little-endian 32-bit pairs; a document can have several rows."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = texts.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    shards = max(1, -(-3 * (size.bytes or 0) // SHARD_BYTES))
-    hot = hot_anchors(texts, size.rows, window)
-    fragments = texts.mapInArrow(lambda batches: _cut(batches, shards, hot, window), "shard int, blob binary")
-    return fragments.groupBy("shard").applyInArrow(
-        lambda shard: _search(shard, window), "doc_id long, n_words int, spans binary"
-    )
-
-
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (whole.slice(low, 1000) for whole in batches for low in range(0, whole.num_rows, 1000)):
-        rows = []
-        for text, found in zip(binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = (text or b"").split()
-            edge = np.zeros(len(words) + 1, np.int64)
-            for part in found or []:
-                if part["n_words"] == len(words):
-                    spans = np.frombuffer(part["spans"], np.int32).reshape(-1, 2)
-                    np.add.at(edge, spans[:, 0], 1)
-                    np.add.at(edge, spans[:, 1], -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            kept = [words[k] for k in np.flatnonzero(~gone).tolist()] if gone.any() else words
-            rows.append((len(words), len(words) - len(kept), b" ".join(kept)))
-        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(2)]
-        kept_text = pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *columns, kept_text], ["doc_id", "n_words", "n_removed", "text"]
-        )
-
-
 def dedup_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """Per document: id, words before, words removed, and the kept words joined by one space."""
+    """Per document: id, words before, words removed, and the kept words joined by one space.
+
+    The texts are dealt out once, by hash, to buckets that all three readings share.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = covered_spans(docs, id_col, text_col, window)
-    found = spans.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "spans")).alias("found"))
-    return texts.join(found, "doc_id", "left").mapInArrow(
+    size = texts.agg(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shards, buckets = (max(1, -(-(size.bytes or 0) // part)) for part in (SHARD_BYTES, BUCKET_BYTES))
+    hot = hot_anchors(texts, size.rows, window)
+    texts = texts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
+    by_bucket, blobs = texts.groupBy("bucket"), "shard int, blob binary"
+    anchors = by_bucket.applyInArrow(lambda own: _anchors(own, shards, hot, window), blobs)
+    repeated = anchors.groupBy("shard").applyInArrow(_repeated, "bucket int, blob binary")
+    fragments = by_bucket.cogroup(repeated.groupBy("bucket")).applyInArrow(
+        lambda own, flags: _cut(own, flags, shards, hot, window), blobs
+    )
+    spans = fragments.groupBy("shard").applyInArrow(lambda own: _search(own, window), "bucket int, blob binary")
+    return by_bucket.cogroup(spans.groupBy("bucket")).applyInArrow(
         _remove, "doc_id long, n_words long, n_removed long, text string"
     )
 
