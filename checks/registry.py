@@ -30,6 +30,7 @@ DOMAINS = ("example.com", "example.net")
 TERM, TERM_STRIPPED = " of the ", "of the"
 FIRST_BATCH = "lang = 'en'"
 MAX_TEXT_BYTES = 4000
+MAX_FILE_BYTES = 10 * 1024 * 1024
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -673,9 +674,9 @@ def build() -> dict[str, tuple[Query, str | None]]:
         "is_file_url": (_is_file, _IS_FILE_SQL),
         "crawl_depth": (_crawl, _crawl_sql(crawl.MAX_DEPTH, False)),
         "crawl_leaf_files": (partial(_crawl, max_depth=2, leaf_files=True), _crawl_sql(2, True)),
-        "route_responses": (lambda spark, sf: web.route_responses(responses(spark, sf)), _ROUTED),
+        "route_responses": (lambda spark, sf: web.route_responses(responses(spark, sf), max_bytes=MAX_FILE_BYTES), _ROUTED),
         "page_file_name": (
-            lambda spark, sf: web.name_files(web.route_responses(responses(spark, sf))),
+            lambda spark, sf: web.name_files(web.route_responses(responses(spark, sf), max_bytes=MAX_FILE_BYTES)),
             _NAMED_SQL,
         ),
     }

@@ -9,7 +9,6 @@ from leaksieve.functions.urls import file_name_of, netloc_of
 from leaksieve.operators.skew import number_within
 from leaksieve.session import ensure_checkpoint_dir
 
-MAX_FILE_BYTES = 10 * 1024 * 1024
 
 # Ending by part of the content type, first hit counts.
 TYPE_ENDINGS = (
@@ -25,14 +24,14 @@ OTHER_ENDING = ".txt"
 _STEM_AND_ENDING = r"^(\.*[^.].*?)(\.[^.]*)?$"
 
 
-def route_responses(responses: DataFrame, *, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def route_responses(responses: DataFrame, *, max_bytes: int | None = None) -> DataFrame:
     """Keeps status 200 and adds ``kind``: ``page`` (links are followed) or ``file``.
 
-    Files above ``max_bytes`` by their content length are dropped; an unknown
-    length passes, and pages are not checked.
+    Nothing is dropped for its size unless ``max_bytes`` is given: then files above it by their content
+    length go; an unknown length passes, and pages are not checked.
     """
     is_page = F.lower(F.coalesce("content_type", F.lit(""))).contains("text/html")
-    fits = F.coalesce("content_length", F.lit(0)) <= max_bytes
+    fits = F.lit(True) if max_bytes is None else F.coalesce("content_length", F.lit(0)) <= max_bytes
     return responses.where((F.col("status") == 200) & (is_page | fits)).withColumn(
         "kind", F.when(is_page, "page").otherwise("file")
     )

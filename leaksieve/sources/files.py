@@ -19,7 +19,6 @@ SUFFIXES = (
     ".html", ".xml", ".sql", ".md", ".conf", ".properties",
 )
 EXCLUDED_FOLDERS = (".git", "__pycache__", "venv", "node_modules", ".vscode")
-MAX_BYTES = 50 * 1024 * 1024
 
 
 def suffix_of(path: Column) -> Column:
@@ -36,8 +35,9 @@ def in_excluded_folder(path: Column, excluded: Sequence[str] = EXCLUDED_FOLDERS)
     return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, excluded)))
 
 
-def within_size(length: Column, max_bytes: int = MAX_BYTES) -> Column:
-    return length <= max_bytes
+def within_size(length: Column, max_bytes: int | None) -> Column:
+    """Nothing is too large unless ``max_bytes`` is given."""
+    return F.lit(True) if max_bytes is None else length <= max_bytes
 
 
 def relative_to(path: Column, base: str) -> Column:
@@ -52,7 +52,7 @@ def scan_files(
     *,
     suffixes: Sequence[str] = SUFFIXES,
     excluded: Sequence[str] = EXCLUDED_FOLDERS,
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = None,
     hidden: bool = False,
     decode_escapes: bool = False,
 ) -> DataFrame:
@@ -101,7 +101,7 @@ def _read_listed(spark, path, suffixes, excluded, max_bytes) -> DataFrame:
         for batch in batches:
             for one in batch["path"]:
                 try:
-                    if os.stat(one).st_size > max_bytes:
+                    if max_bytes is not None and os.stat(one).st_size > max_bytes:
                         continue
                     with open(one, "rb") as handle:
                         yield pd.DataFrame({"path": [one], "content": [handle.read()]})

@@ -83,7 +83,7 @@ def test_path_filters(spark):
     expected = [p for p in paths if Path(p).suffix in files.SUFFIXES and "venv" not in Path(p).parts]
     assert sorted(r.p for r in kept.collect()) == sorted(expected)
     sizes = spark.createDataFrame([(52_428_800,), (52_428_801,), (None,)], "n long")
-    assert [r.n for r in sizes.where(files.within_size(F.col("n"))).collect()] == [52_428_800]
+    assert [r.n for r in sizes.where(files.within_size(F.col("n"), 52_428_800)).collect()] == [52_428_800]
 
 
 def test_lists(spark, tmp_path):

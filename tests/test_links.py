@@ -116,7 +116,7 @@ def test_responses_and_names(spark):
         ("http://g/y/x.tar.gz", 200, None, 1),
     ]
     table = spark.createDataFrame(rows, "url string, status int, content_type string, content_length long")
-    routed = route_responses(table)
+    routed = route_responses(table, max_bytes=10 * 1024 * 1024)
     assert {(r.url, r.kind) for r in routed.collect()} == {
         (r[0], "page" if "html" in (r[2] or "").lower() else "file") for r in rows if r[0] not in ("http://h/big", "http://h/gone.js")
     }
