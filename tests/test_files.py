@@ -61,7 +61,7 @@ def test_reader_scan_passes_over_hidden_names(spark, tmp_path):
     corpus = files.scan_files(spark, str(tmp_path))
     assert names(corpus) == ["a.py", "big.log", "build/a.py", "deep/er/readme.md", "x.env"]
     assert names(files.scan_files(spark, str(tmp_path), max_bytes=99)) == ["a.py", "build/a.py", "deep/er/readme.md", "x.env"]
-    plan = files.scan_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    plan = files.scan_files(spark, str(tmp_path), max_bytes=1 << 20)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length" in plan
     decoded = files.scan_files(spark, str(tmp_path), decode_escapes=True)
     assert decoded.where("file = 'deep/er/readme.md'").first().text == "x\ny"
