@@ -89,23 +89,67 @@ def parsed(arguments: str | None, name: str | None, schemas: dict[str, Schema])
     return value, schema_errors(value, schemas.get(name, {"type": "object"}))
 
 
-def levels(needs: DataFrame, calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of all calls that can be run, by peeling off those that need nothing open.
+def _blocked(calls: DataFrame, block: int) -> DataFrame:
+    """The calls with the block they are in: stretches of ``block`` positions of one conversation, split by hash where ties crowd them."""
+    stretch = calls.select("conv_id", "call_id", F.coalesce(F.floor(F.col("position") / block), F.lit(0)).alias("stretch"))
+    full = stretch.groupBy("conv_id", "stretch").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / block)
+    part = F.pmod(F.xxhash64("call_id"), parts)
+    joined = stretch.join(full, ["conv_id", "stretch"], "left")
+    return joined.select("conv_id", "call_id", F.struct("stretch", part.alias("part")).alias("block"))
+
+
+def _level_block(edges: pa.Table) -> pa.Table:
+    """The calls of one block whose needs are met, by levels known from outside or found in the block."""
+    level: dict[str, int] = {}
+    unmet: dict[str, int] = {}
+    waiting: dict[str, list[str]] = {}
+    for call, need, got in zip(*(edges[c].to_pylist() for c in ("call_id", "need", "got")), strict=True):
+        unmet.setdefault(call, 0)
+        level.setdefault(call, 0)
+        if got is None:
+            unmet[call] += 1
+            waiting.setdefault(need, []).append(call)
+        else:
+            level[call] = max(level[call], got + 1)
+    ready = [call for call, n in unmet.items() if not n]
+    for call in ready:
+        for later in waiting.get(call, ()):
+            level[later] = max(level[later], level[call] + 1)
+            unmet[later] -= 1
+            if not unmet[later]:
+                ready.append(later)
+    conv = edges["conv_id"].combine_chunks()
+    return pa.table(
+        {
+            "conv_id": pa.repeat(conv[0], len(ready)),
+            "call_id": pa.array(ready, pa.string()),
+            "level": pa.array([level[call] for call in ready], pa.int32()),
+        }
+    )
+
 
-    One round a level, as many as the longest chain; each round is a written table. ``needs`` is
-    (conv_id, call_id, need), one row each.
+def levels(needs: DataFrame, calls: DataFrame, block: int = 50_000) -> DataFrame:
+    """(conv_id, call_id, level) of all calls that can be run.
+
+    Calls that need nothing are level 0. The others are dealt out in blocks of at most about ``block`` calls, so that no
+    task holds a whole conversation; each round solves the blocks as far as the levels known so far allow, and is a written
+    table. There are as many rounds as the longest chain changes blocks, not one a level. ``needs`` is (conv_id, call_id,
+    need), one row each.
     """
     key = ["conv_id", "call_id"]
-    open_needs = saved(needs, "needs")
-    done = saved(calls.join(open_needs, key, "left_anti").select(*key, F.lit(0).alias("level")), "level")
-    last, level = done, 0
+    schema = calls.select(*key, F.lit(0).alias("level")).schema
+    done = last = saved(calls.join(needs, key, "left_anti").select(*key, F.lit(0).alias("level")), "level")
+    open_needs = saved(
+        needs.join(_blocked(calls, block), key).select(*key, "block", "need", F.lit(None).cast("int").alias("got")), "needs"
+    )
     while not last.isEmpty():
-        level += 1
-        met = last.select("conv_id", F.col("call_id").alias("need"))
-        rest = saved(open_needs.join(met, ["conv_id", "need"], "left_anti").select(*key, "need"), "needs")
-        freed = open_needs.select(*key).distinct().join(rest, key, "left_anti")
-        last = saved(freed.select(*key, F.lit(level).alias("level")), "level")
-        done, open_needs = done.unionByName(last), rest
+        met = last.select("conv_id", F.col("call_id").alias("need"), "level")
+        rest = open_needs.join(last, key, "left_anti").join(met, ["conv_id", "need"], "left")
+        got = F.coalesce("got", "level").alias("got")
+        open_needs = saved(rest.select(*key, "block", "need", got), "needs")
+        last = saved(open_needs.groupBy("conv_id", "block").applyInArrow(_level_block, schema), "level")
+        done = done.unionByName(last)
     return done
 
 
@@ -138,7 +182,7 @@ def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, Schema]) ->
         )
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
+def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema], block: int = 50_000) -> DataFrame:
     """A row per call and per orphaned result; ordered within a conversation by (level, position, call_id)."""
     key = ["conv_id", "call_id"]
     calls = saved(
@@ -147,7 +191,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema])
     answers = _first(results.where("call_id IS NOT NULL"), ["position", "content"], ["position", "content"])
     answers = answers.select(*key, F.col("position").alias("at"), "content", F.col("n").alias("n_results"))
     needs = calls.select(*key, F.explode_outer(F.array_distinct("needs")).alias("need")).where("need IS NOT NULL")
-    depth = levels(needs, calls)
+    depth = levels(needs, calls, block)
     status = (
         F.when(F.col("mine").isNull(), "orphan")
         .when(F.col("level").isNull(), "blocked")

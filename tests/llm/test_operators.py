@@ -456,6 +456,27 @@ def test_calls_are_linked_and_ordered(spark):
     assert tool_calls.link_calls(made.limit(0), got.limit(0), schemas).collect() == []
 
 
+def test_op1_levels_do_not_depend_on_blocks(spark):
+    """A chain over many blocks, random needs, crowded and null positions, a ring and what hangs on it."""
+    draw = random.Random(3)
+    needs = {f"c{k}": {f"c{k - 1}"} if k % 40 else set() for k in range(120)}
+    needs |= {f"r{k}": {f"r{draw.randrange(k)}" for _ in range(draw.randrange(3)) if k} for k in range(200)}
+    needs |= {"ring1": {"ring2", "c3"}, "ring2": {"ring1"}, "behind": {"ring1", "c0"}, "self": {"self"}, "lost": {"nowhere"}}
+    expected = {}
+    while fresh := {c: 1 + max((expected[n] for n in ns), default=-1) for c, ns in needs.items() if c not in expected and ns <= expected.keys()}:
+        expected |= fresh
+
+    def position(call):
+        return None if call[0] == "b" else int(call[1:]) if call[0] == "c" else 5
+
+    calls = spark.createDataFrame([(v, c, position(c)) for v in (1, 2) for c in needs], "conv_id long, call_id string, position long")
+    edges = [(v, c, n) for v in (1, 2) for c, ns in needs.items() for n in ns]
+    wanted = spark.createDataFrame(edges, "conv_id long, call_id string, need string")
+    for block in (16, 50_000):
+        got = {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(wanted, calls, block).collect()}
+        assert got == {(v, c): level for v in (1, 2) for c, level in expected.items()}
+
+
 def test_tool_call_query_against_a_walk(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     role, text = ({(t.conv_id, t.turn): t[k] for t in turns} for k in ("role", "text"))
