@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from leaksieve.functions.severity import severity_of
 
@@ -37,6 +37,7 @@ class Rule:
     keywords: tuple[str, ...] = ()
     jvm_pattern: str | None = None
     severity: str = ""
+    flags: int = 0  # of ``re``, beside those above
 
     def __post_init__(self) -> None:
         if not self.severity:
@@ -46,11 +47,15 @@ class Rule:
     def java(self) -> str:
         """The regex as the JVM runs it: Unicode classes, LF as only line end."""
         flags = "d" + ("iu" if self.ignore_case else "") + ("m" if self.multiline else "") + "U"
+        if self.flags & re.ASCII:
+            flags = flags.replace("u", "").replace("U", "")
+        if self.flags & re.DOTALL:
+            flags += "s"
         return f"(?{flags})" + (self.jvm_pattern or self.pattern)
 
     def compile(self) -> re.Pattern[str]:
         flags = (re.IGNORECASE if self.ignore_case else 0) | (re.MULTILINE if self.multiline else 0)
-        return re.compile(self.pattern, flags)
+        return re.compile(self.pattern, flags | self.flags)
 
 
 def quote(literal: str) -> str:
@@ -66,28 +71,93 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+_REPEAT = re.compile(r"\{(\d*),(\d*)\}|\{(\d+)\}")
+_GROUP_FLAGS = re.compile(r"\(\?([a-zA-Z]*)(-[a-z]+)?([:)])")
+
+# Word edges of the JVM are not ASCII in every version.
+_ASCII_EDGES = {"b": r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))", "B": r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"}
+
+
+def java_syntax(regex: re.Pattern[str]) -> str:
+    """A Python pattern in the syntax of the JVM, without its flags; what has no equivalent raises ``ValueError``."""
+    text, out, at, in_class, class_start = regex.pattern, [], 0, False, 0
+    while at < len(text):
+        rest = text[at:]
+        took, put = 1, text[at]
+        if rest[0] == "\\":
+            took, put = _escape(rest, in_class, bool(regex.flags & re.ASCII))
+        elif in_class:
+            put = "\\" + put if put in "[&" or (put == "]" and at == class_start) else put
+            in_class = not (put == "]")
+        elif rest[0] == "[":
+            took = 2 if rest.startswith("[^") else 1
+            put, in_class, class_start = rest[:took], True, at + took
+        elif rest[0] == "{":
+            repeat = _REPEAT.match(rest)
+            took, put = (repeat.end(), f"{{{repeat[1] or 0},{repeat[2]}}}" if repeat[3] is None else repeat[0]) if repeat else (1, "\\{")
+        elif rest.startswith("(?P<"):
+            took, put = rest.index(">") + 1, "("
+        elif rest.startswith("(?P="):
+            took = rest.index(")") + 1
+            put = f"(?:\\{regex.groupindex[rest[4:took - 1]]})"
+        elif rest.startswith("(?#"):
+            took, put = rest.index(")") + 1, ""
+        elif rest.startswith("(?("):
+            raise ValueError(f"conditional group in {text!r}")
+        elif (group := _GROUP_FLAGS.match(rest)) and (group[1] or group[2]):
+            if group[3] == ":" and set(group[1] + (group[2] or "")) - set("ims-"):
+                raise ValueError(f"flags {group[0]!r} of a group in {text!r}")
+            took, put = group.end(), group[0] if group[3] == ":" else ""
+        elif regex.flags & re.VERBOSE and rest[0].isspace():
+            put = ""
+        elif regex.flags & re.VERBOSE and rest[0] == "#":
+            took, put = len(rest.split("\n", 1)[0]), ""
+        out.append(put)
+        at += took
+    return "".join(out)
+
+
+def _escape(rest: str, in_class: bool, ascii_only: bool) -> tuple[int, str]:
+    """How long the escape at the beginning of ``rest`` is, and what the JVM calls it."""
+    if rest[1] in "NU" or re.match(r"\\[1-7][0-7]{2}", rest) or (in_class and rest[1] in "123456789"):
+        raise ValueError(f"escape {rest[:4]!r} in a rule")
+    if number := re.match(r"\\([1-9]\d?)", rest):
+        return number.end(), f"(?:{number[0]})"
+    if octal := re.match(r"\\0[0-7]{0,2}", rest):
+        return octal.end(), f"\\x{int(octal[0][1:], 8):02x}"
+    if rest[1] == "b" and in_class:
+        return 2, "\\x08"
+    if ascii_only and rest[1] in _ASCII_EDGES:
+        return 2, _ASCII_EDGES[rest[1]]
+    return 2, {"Z": "\\z", "v": "\\x0B"}.get(rest[1], rest[:2])
+
+
 def user_rules(rules: Mapping[str, str | re.Pattern[str]]) -> list[Rule]:
-    """Rules given as ``name -> regex``.
+    """Rules given as ``name -> regex``, in the syntax of ``re``.
 
     Plain strings ignore case and are multi-line; compiled patterns keep their
-    own flags.  A rule that matches the empty string is refused.
+    own flags.  A rule that matches the empty string is refused, and so is one
+    that the JVM has no equivalent for.
     """
     made = []
     for name, regex in rules.items():
         if isinstance(regex, str):
-            rule = Rule(name, regex, ignore_case=True, multiline=True)
-        else:
-            rule = Rule(
+            regex = re.compile(regex, re.IGNORECASE | re.MULTILINE)
+        if not isinstance(regex.pattern, str):
+            raise ValueError(f"rule {name!r} is a pattern of bytes")
+        if regex.search(""):
+            raise ValueError(f"rule {name!r} matches the empty string")
+        translated = java_syntax(regex)
+        made.append(
+            Rule(
                 name,
                 regex.pattern,
                 ignore_case=bool(regex.flags & re.IGNORECASE),
                 multiline=bool(regex.flags & re.MULTILINE),
+                jvm_pattern=translated if translated != regex.pattern else None,
+                flags=int(regex.flags & (re.ASCII | re.DOTALL | re.VERBOSE)),
             )
-            if regex.flags & re.DOTALL:
-                rule = replace(rule, jvm_pattern="(?s)" + regex.pattern)
-        if rule.compile().search(""):
-            raise ValueError(f"rule {name!r} matches the empty string")
-        made.append(rule)
+        )
     return made
 
 

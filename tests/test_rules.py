@@ -126,3 +126,39 @@ def test_keyword_rules_agree_with_python_on_random_runs(spark):
     expected = by_hand([(str(n), t) for n, t in enumerate(texts)], rules)
     assert len(found) == len(set(found)) and set(found) == expected
     assert len(expected) > 300
+
+
+def test_user_rules_mean_what_they_mean_in_python(spark):
+    verbose = re.compile(r"""
+        (?P<the_key> k ) = [ #]?  (\d) \2   # a comment
+        """, re.X)
+    patterns = {
+        "verbose": verbose,
+        "ascii": re.compile(r"\w+z", re.A),
+        "ascii, no case": re.compile(r"\bs\w*q", re.A | re.I),
+        "named": r"(?P<my_key>[ab])=(?P=my_key)1?",
+        "class": r"x[^[]y",
+        "class end": r"x[]a]+y?",
+        "and": r"[a-z&&b]+=",
+        "upto": r"q{,2}w",
+        "brace": r"a{x}|b{",
+        "end": re.compile(r"z\Z"),
+        "dot": re.compile(r"a.b", re.S),
+        "octal": r"\075k",
+        "tab": "k\\v|x(?#none)y",
+        "inline": "(?s)a.q",
+        "scoped": "(?i:K)=1",
+    }
+    rules = user_rules(patterns)
+    rng = random.Random(11)
+    parts = ["k", "K", "=", "11", "1", " ", "#", "é", "z", "x", "[", "]", "y", "a", "b", "&", "q", "w", "{", "}", "{x}", "\n", "\v", "s", "ſ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 25))) for _ in range(2_000)]
+    found = as_tuples(scan(corpus(spark, *texts), rules))
+    expected = by_hand([(str(n), t) for n, t in enumerate(texts)], rules)
+    assert set(found) == expected and {f[1] for f in found} == set(patterns)
+
+
+@pytest.mark.parametrize("regex", [r"(a)?(?(1)b|c)", r"\101x", r"[\1]x", r"(?a:\w)x", rb"bytes", r"\N{DIGIT ONE}"])
+def test_user_rules_without_an_equivalent_are_refused(regex):
+    with pytest.raises(ValueError):
+        user_rules({"r": re.compile(regex)})
