@@ -580,10 +580,11 @@ _NAMED_SQL = f"""
     ), repeated AS (
         SELECT *, row_number() OVER (PARTITION BY host, full_name ORDER BY md5(url), url) - 1 AS again FROM named
     )
-    SELECT url, kind, host, CASE WHEN again = 0 THEN full_name ELSE
-        regexp_extract(full_name, '^(.*)\\.[^.]*$', 1) || '_' || again || regexp_extract(full_name, '\\.[^.]*$') END
-        AS file_name
-    FROM repeated
+    SELECT url, kind, host, CASE WHEN again = 0 THEN full_name
+        WHEN (host, head || '_' || again || tail) IN (SELECT (host, full_name) FROM named) THEN head || '#' || again || tail
+        ELSE head || '_' || again || tail END AS file_name
+    FROM (SELECT *, regexp_extract(full_name, '^(.*)\\.[^.]*$', 1) AS head, regexp_extract(full_name, '\\.[^.]*$') AS tail
+        FROM repeated)
 """
 
 # ----------------------------------------------------------------- registry

@@ -21,7 +21,7 @@ TYPE_ENDINGS = (
 OTHER_ENDING = ".txt"
 
 # Dots at the beginning belong to the stem.
-_STEM_AND_ENDING = r"^(\.*[^.].*?)(\.[^.]*)?$"
+_STEM_AND_ENDING = r"(?s)^(\.*[^.].*?|\.+)(\.[^.]*)?\z"
 
 
 def route_responses(responses: DataFrame, *, max_bytes: int | None = None) -> DataFrame:
@@ -49,7 +49,8 @@ def name_files(routed: DataFrame) -> DataFrame:
 
     The name is the last path part; without a dot in it, ``file_`` and the
     response's number on its host.  Pages end in ``.html``.  Further responses
-    with a name get ``_1``, ``_2``...; all numbers go by the md5 of the URL, which
+    with a name get ``_1``, ``_2``...; where another response has that name as its own,
+    ``#1``, ``#2``..., which no path holds.  All numbers go by the md5 of the URL, which
     has to identify a response.  Bodies are not carried along.
     """
     ensure_checkpoint_dir(routed.sparkSession)
@@ -66,6 +67,9 @@ def name_files(routed: DataFrame) -> DataFrame:
     repeated = number_within(named, ["host", "_name"], F.col("url"), "_repeat")
     stem = F.regexp_extract("_name", _STEM_AND_ENDING, 1)
     ending = F.regexp_extract("_name", _STEM_AND_ENDING, 2)
-    unlike = F.concat(stem, F.lit("_"), F.col("_repeat").cast("string"), ending)
-    file_name = F.when(F.col("_repeat") == 0, F.col("_name")).otherwise(unlike)
-    return repeated.select("url", "kind", "host", file_name.alias("file_name"))
+    again = F.col("_repeat").cast("string")
+    own = named.select("host", F.col("_name").alias("_like")).distinct().withColumn("_taken", F.lit(True))
+    unlike = repeated.withColumn("_like", F.when(F.col("_repeat") == 0, F.col("_name")).otherwise(F.concat(stem, F.lit("_"), again, ending)))
+    free = F.concat(stem, F.lit("#"), again, ending)
+    file_name = F.when((F.col("_repeat") > 0) & F.col("_taken"), free).otherwise(F.col("_like"))
+    return unlike.join(own, ["host", "_like"], "left").select("url", "kind", "host", file_name.alias("file_name"))

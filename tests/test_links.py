@@ -126,3 +126,11 @@ def test_responses_and_names(spark):
     assert {named["http://g/x.tar.gz"], named["http://g/y/x.tar.gz"]} == {"x.tar.gz", "x.tar_1.gz"}
     assert named["http://h/"].startswith("file_000") and named["http://h/"].endswith(".html")
     assert named["http://h/data"].startswith("file_000") and named["http://h/data"].endswith(".json")
+
+
+def test_no_name_comes_twice_on_a_host(spark):
+    paths = ["x/a.js", "y/a.js", "z/a_1.js", "w/a.js", "v/a_1.js", "a_1_1.js", "..", "q/..", "...", "data", "file_0001.json"]
+    rows = [(f"http://{host}/{path}", "file", "application/json") for host in "gh" for path in paths]
+    named = name_files(spark.createDataFrame(rows, "url string, kind string, content_type string")).collect()
+    assert len(named) == len(rows) == len({(r.host, r.file_name) for r in named})
+    assert {r.file_name for r in named if r.host == "g"} >= {"a.js", "a_1.js", "a#1.js", "a_2.js", "a#1.js", "a_1_1.js"}
