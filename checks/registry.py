@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 from functools import lru_cache, partial
 from pathlib import Path
 
@@ -30,6 +31,7 @@ DOMAINS = ("example.com", "example.net")
 TERM, TERM_STRIPPED = " of the ", "of the"
 FIRST_BATCH = "lang = 'en'"
 MAX_TEXT_BYTES = 4000
+MAX_DEPTH = 3
 MAX_FILE_BYTES = 10 * 1024 * 1024
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,9 +92,18 @@ USER_RULES = user_rules(
         "Opening": r"^the [a-z]{2,9}\b",
         "Percent Marked Word": re.compile(r"[a-z]+%%%"),
         "Password Hint": re.compile(r"\bhint[:=]\s*[^\n]+"),
+        "Named Seat": re.compile(r"\bseat (?P<row>[a-z])-(?P<place>\d+)(?# both parts)"),
+        "Verbose Locker": re.compile(r"locker [ ] \#\d+  # its number", re.X),
+        "Plain Badge": re.compile(r"badge-\w+", re.A),
     }
 )
-USER_LINES = ("The end of {n}", "hint: my {n}th street")
+# The same rules as SQL writes them, which has no comments in patterns and takes \w as ASCII.
+_PLAIN_FORMS = {"Named Seat": r"\bseat ([a-z])-(\d+)", "Verbose Locker": r"locker[ ]#\d+"}
+USER_RULES_SQL = [replace(rule, pattern=_PLAIN_FORMS.get(rule.name, rule.pattern)) for rule in USER_RULES]
+# Tokens of one issuer: two in a text that share more than a snippet shows.
+_ISSUED = "eyJ" + "hbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9" * 3 + "."
+LONG_LINES = (f"{_ISSUED}a{{n}}.sig {_ISSUED}b{{n}}.sig", f"{_ISSUED}shared.sig")
+USER_LINES = ("The end of {n}", "hint: my {n}th street", "seat b-{n}", "locker #{n}", "badge-k{n}é")
 
 # ------------------------------------------------------- scans and searches
 
@@ -116,20 +127,32 @@ def _scan_domains_sql() -> str:
     return sql.scan(corpus, [custom_domain_rule(DOMAINS)])
 
 
-# SQL has no escapes to decode, so letters it would turn into others are masked first.
-_MASK = r"[^\x20-\x5b\x5d-\x7e\n]"
+def _backslashes_doubled() -> Column:
+    """The texts, so written that decoding escapes gives their own backslashes back."""
+    return F.replace("text", F.lit("\\"), F.lit("\\\\"))
+
+
+def _latin_1_sql(text: str) -> str:
+    """``text`` with LF line ends and its UTF-8 bytes read one by one as Latin-1."""
+    lines = f"replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    rest = [f"chr(128 + ((unicode(c) >> {shift}) & 63))" for shift in (12, 6, 0)]
+    return f"""array_to_string([CASE
+        WHEN unicode(c) < 128 THEN c
+        WHEN unicode(c) < 2048 THEN chr(192 + (unicode(c) >> 6)) || {rest[2]}
+        WHEN unicode(c) < 65536 THEN chr(224 + (unicode(c) >> 12)) || {rest[1]} || {rest[2]}
+        ELSE chr(240 + (unicode(c) >> 18)) || {" || ".join(rest)}
+    END FOR c IN regexp_extract_all({lines}, '(?s)[\\x00-\\x7f]+|[^\\x00-\\x7f]')], '')"""
 
 
 def _scan_unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", _MASK, "?")
-    escaped = F.concat(plain, F.lit(r"\npass"), F.lit(r"word=x"), F.col("doc_id"), F.lit(r"\x21"))
+    escaped = F.concat(_backslashes_doubled(), F.lit(r"\npass"), F.lit(r"word=x"), F.col("doc_id"), F.lit(r"\x21"))
     corpus = spread(corpus_from(table(spark, sf_dir, "documents"), "doc_id", escaped))
     return scan(corpus.withColumn("text", text_functions.unescape(F.col("text"))), standard_rules())
 
 
 def _scan_unescaped_sql() -> str:
     corpus = (
-        f"SELECT CAST(doc_id AS VARCHAR) AS file, regexp_replace(text, '{_MASK}', '?', 'g') "
+        f"SELECT CAST(doc_id AS VARCHAR) AS file, {_latin_1_sql('text')} "
         "|| chr(10) || 'password=x' || doc_id || '!' AS text FROM documents"
     )
     return sql.scan(corpus, standard_rules())
@@ -149,11 +172,12 @@ def _findings_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _findings_union_sql() -> str:
     with_domains = [*standard_rules(), custom_domain_rule(DOMAINS)]
-    one = f"SELECT file, type, line, snippet, severity, NULL::VARCHAR AS hash FROM ({{}})"
+    fields = "file, type, line, snippet, severity, match_offset, match_md5, match_key"
+    one = f"SELECT {fields}, NULL::VARCHAR AS hash FROM ({{}})"
     return " UNION ALL ".join(
         [
             one.format(sql.scan(sql.PAGES, with_domains)),
-            f"SELECT file, type, line, snippet, severity, hash FROM ({sql.search(sql.PAGES, '<b>', '<b>')})",
+            f"SELECT {fields}, hash FROM ({sql.search(sql.PAGES, '<b>', '<b>')})",
             one.format(sql.scan(sql.DOCUMENTS, standard_rules())),
         ]
     )
@@ -161,7 +185,8 @@ def _findings_union_sql() -> str:
 
 def _stored_first_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = spread(corpus_from(table(spark, sf_dir, "documents").where(FIRST_BATCH), "doc_id", "text"))
-    return incremental.scan_contents(first, standard_rules())
+    ensure_checkpoint_dir(spark)
+    return incremental.scan_contents(first, standard_rules()).checkpoint()
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,16 +325,12 @@ def _decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.regexp_replace("text", _MASK, "?")
-    escaped = F.concat(plain, F.lit(r"\u0041\u00e9\x21\101"), F.lit(r"\n"), F.col("lang"))
+    escaped = F.concat(_backslashes_doubled(), F.lit(r"\u0041\u00e9\x21\101"), F.lit(r"\n"), F.col("lang"))
     source = spread(table(spark, sf_dir, "documents").select("doc_id", escaped.alias("text")))
     return source.select("doc_id", text_functions.unescape(F.col("text")).alias("text"))
 
 
-_UNESCAPE_SQL = r"""
-    SELECT doc_id, regexp_replace(text, '[^\x20-\x5b\x5d-\x7e\n]', '?', 'g') || 'Aé!A' || chr(10) || lang AS text
-    FROM documents
-"""
+_UNESCAPE_SQL = f"SELECT doc_id, {_latin_1_sql('text')} || 'Aé!A' || chr(10) || lang AS text FROM documents"
 
 
 def _domain_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,16 +423,53 @@ def _pairs(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
     return dedupe.duplicate_pairs(_stored_findings(spark, sf_dir), type_order=order, threshold=threshold)
 
 
+# Every finding once more with so many marks behind its first character.
+_MARKS = (0, 3, 12)
+
+
+def _marked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of findings that punctuation tells apart, on both sides of the threshold."""
+    copies = F.explode(F.array(*map(F.lit, _MARKS))).alias("k")
+    snippet = F.concat(F.left("snippet", F.lit(1)), F.repeat(F.lit("!"), F.col("k")), F.expr("substring(snippet, 2)"))
+    marked = _stored_findings(spark, sf_dir).select("*", copies).select(
+        "type", F.concat_ws("#", "file", "k").alias("file"), "line", snippet.alias("snippet"), "severity"
+    )
+    return dedupe.duplicate_pairs(marked, type_order=[rule.name for rule in standard_rules()])
+
+
+def _marked_pairs_sql() -> str:
+    """Of two texts that differ in one run of marks, the matching blocks are all but the longer run's surplus."""
+    place = " ".join(f"WHEN {quoted(r.name)} THEN {n}" for n, r in enumerate(standard_rules()))
+    marks = ", ".join(map(str, _MARKS))
+    return f"""
+        WITH f AS (
+            SELECT type, file || '#' || k AS file, line, snippet[1] || repeat('!', k) || substr(snippet, 2) AS snippet,
+                k, length(snippet) AS n, md5({sql.normalized("snippet")}) AS h
+            FROM ({_findings_sql()}), (SELECT unnest([{marks}]) AS k)
+        ), star AS (
+            SELECT *, row_number() OVER w AS place, first_value(type) OVER w AS first_type,
+                first_value(file) OVER w AS first_file, first_value(line) OVER w AS first_line,
+                first_value(snippet) OVER w AS first_snippet, first_value(k) OVER w AS first_k
+            FROM f WINDOW w AS (PARTITION BY h ORDER BY CASE type {place} END, type, file, line, snippet)
+        )
+        SELECT * FROM (
+            SELECT type, file, line, snippet, first_type, first_file, first_line, first_snippet,
+                CAST(2 * (n + least(k, first_k)) AS DOUBLE) / (2 * n + k + first_k) AS similarity
+            FROM star WHERE place > 1
+        ) WHERE similarity >= {dedupe.SIMILARITY_THRESHOLD}
+    """
+
+
 def _equal_pairs_sql() -> str:
     place = " ".join(f"WHEN {quoted(r.name)} THEN {n}" for n, r in enumerate(standard_rules()))
     return f"""
         WITH f AS (
-            SELECT *, md5({sql.normalized("snippet")}) AS h FROM ({_findings_sql()})
+            SELECT *, match_key AS h FROM ({_findings_sql()})
         ), star AS (
             SELECT *, row_number() OVER w AS place, first_value(type) OVER w AS first_type,
                 first_value(file) OVER w AS first_file, first_value(line) OVER w AS first_line,
                 first_value(snippet) OVER w AS first_snippet
-            FROM f WINDOW w AS (PARTITION BY h ORDER BY CASE type {place} END, type, file, line, snippet)
+            FROM f WINDOW w AS (PARTITION BY h ORDER BY CASE type {place} END, type, file, line, snippet, match_md5)
         )
         SELECT type, file, line, snippet, first_type, first_file, first_line, first_snippet,
                CAST(1 AS DOUBLE) AS similarity
@@ -419,15 +477,6 @@ def _equal_pairs_sql() -> str:
     """
 
 
-def _similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How alike each conversation turn is to the first of its conversation."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"))
-    return spread(turns).join(first, "conv_id").select(
-        "conv_id", "turn", text_functions.similarity(F.col("text"), F.col("first")).alias("similarity")
-    )
-
-
 # --------------------------------------------------------- links and crawl
 
 
@@ -520,7 +569,12 @@ def _crawl(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return crawl.crawl(seeds, links.page_edges(stored), **options)
 
 
-def _crawl_sql(max_depth: int, leaf_files: bool) -> str:
+def _reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds, stored = _tree(spark, sf_dir)
+    return crawl.reach(seeds, links.page_edges(stored), max_depth=MAX_DEPTH)
+
+
+def _crawl_sql(max_depth: int, leaf_files: bool, state: str = "seed, url") -> str:
     step = "r.depth < {0} OR (r.depth = {0} AND e.is_file)" if leaf_files else "r.depth < {0}"
     return f"""
         WITH RECURSIVE e AS MATERIALIZED ({_edges_sql(_TREE)}), r(seed, url, depth) AS (
@@ -529,7 +583,7 @@ def _crawl_sql(max_depth: int, leaf_files: bool) -> str:
             UNION
             SELECT r.seed, e.dst, r.depth + 1 FROM r JOIN e ON r.url = e.src WHERE {step.format(max_depth)}
         )
-        SELECT seed, url, min(depth) AS depth FROM r GROUP BY seed, url
+        SELECT {state}, min(depth) AS depth FROM r GROUP BY {state}
     """
 
 
@@ -609,7 +663,15 @@ def build() -> dict[str, tuple[Query, str | None]]:
         ),
         "scan_user_rules": (
             lambda spark, sf: scan(salted(spark, sf, USER_LINES), USER_RULES),
-            sql.scan(salted_sql(USER_LINES), USER_RULES),
+            sql.scan(salted_sql(USER_LINES), USER_RULES_SQL),
+        ),
+        "scan_long_tokens": (
+            lambda spark, sf: scan(salted(spark, sf, LONG_LINES), std()),
+            sql.scan(salted_sql(LONG_LINES), std()),
+        ),
+        "clean_long_tokens": (
+            lambda spark, sf: dedupe.clean_duplicates(scan(salted(spark, sf, LONG_LINES), std())),
+            sql.clean(sql.scan(salted_sql(LONG_LINES), std())),
         ),
         "scan_custom_domains": (_scan_domains, _scan_domains_sql()),
         "scan_unescaped": (_scan_unescaped, _scan_unescaped_sql()),
@@ -643,12 +705,12 @@ def build() -> dict[str, tuple[Query, str | None]]:
         "severity_of_rule": (_severity, _severity_sql()),
         "clean_duplicates": (clean, sql.clean(_findings_sql())),
         "equal_duplicate_pairs": (partial(_pairs_flat, threshold=1.0), _equal_pairs_sql()),
-        "duplicate_pairs": (partial(_pairs_flat, threshold=dedupe.SIMILARITY_THRESHOLD), None),
+        "duplicate_pairs": (lambda spark, sf: _flat_pairs(_marked_pairs(spark, sf)), _marked_pairs_sql()),
         "duplicate_report": (
-            lambda spark, sf: dedupe.duplicate_report(_pairs(spark, sf, dedupe.SIMILARITY_THRESHOLD)),
-            None,
+            lambda spark, sf: dedupe.duplicate_report(_marked_pairs(spark, sf)),
+            "SELECT type, file AS file_1, line AS line_1, first_file AS file_2, first_line AS line_2, "
+            f"printf('%.2f%%', similarity * 100) AS similarity FROM ({_marked_pairs_sql()})",
         ),
-        "pair_similarity": (_similarity, None),
         "severity_type_counts": (
             lambda spark, sf: report.severity_type_counts(clean(spark, sf)),
             f"SELECT severity, type, count(*) AS found FROM ({sql.clean(_findings_sql())}) GROUP BY ALL",
@@ -673,7 +735,8 @@ def build() -> dict[str, tuple[Query, str | None]]:
             f"SELECT src, dst, is_file FROM ({_edges_sql(_LINKED_PAGES)}) WHERE is_file",
         ),
         "is_file_url": (_is_file, _IS_FILE_SQL),
-        "crawl_depth": (_crawl, _crawl_sql(crawl.MAX_DEPTH, False)),
+        "crawl_depth": (partial(_crawl, max_depth=MAX_DEPTH), _crawl_sql(MAX_DEPTH, False)),
+        "crawl_reached": (_reached, _crawl_sql(MAX_DEPTH, False, "url")),
         "crawl_leaf_files": (partial(_crawl, max_depth=2, leaf_files=True), _crawl_sql(2, True)),
         "route_responses": (lambda spark, sf: web.route_responses(responses(spark, sf), max_bytes=MAX_FILE_BYTES), _ROUTED),
         "page_file_name": (

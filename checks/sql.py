@@ -30,6 +30,14 @@ def _rows(segments: str, columns: str) -> str:
     """
 
 
+def normalized(column: str) -> str:
+    ends_off = f"regexp_replace(lower({column}), '^\\s+|\\s+$', '', 'g')"
+    single = f"regexp_replace({ends_off}, '\\s+', ' ', 'g')"
+    return f"regexp_replace({single}, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')"
+
+
+_OFFSET = "CAST(length(before) AS INTEGER)"
+_HASHES = f"md5(match) AS match_md5, md5({normalized('match')}) AS match_key"
 _LINE = "CAST(1 + length(before) - length(replace(before, chr(10), '')) AS INTEGER)"
 
 
@@ -41,8 +49,11 @@ def scan(corpus: str, rules: Sequence[Rule]) -> str:
         for r in rules
     )
     return f"""
-        SELECT DISTINCT file, type, {_LINE} AS line, substr(match, 1, 100) AS snippet, severity
-        FROM (WITH corpus AS MATERIALIZED ({corpus}) {_rows(per_rule, "file, type, severity")})
+        SELECT file, type, line, substr(match, 1, 100) AS snippet, severity,
+               min(match_offset) AS match_offset, {_HASHES}
+        FROM (SELECT *, {_LINE} AS line, {_OFFSET} AS match_offset FROM (
+            WITH corpus AS MATERIALIZED ({corpus}) {_rows(per_rule, "file, type, severity")}
+        )) GROUP BY file, type, line, match, severity
     """
 
 
@@ -51,22 +62,16 @@ def search(corpus: str, term: str, stripped: str) -> str:
     cut = f"SELECT file, {_cut(regex)} AS seg FROM ({corpus}) WHERE contains(text, {regex})"
     return f"""
         SELECT file, 'User Search' AS type, {_LINE} AS line, {quoted(stripped)} AS snippet,
-               'info' AS severity, md5(match) AS hash
+               'info' AS severity, md5(match) AS hash, {_OFFSET} AS match_offset, {_HASHES}
         FROM ({_rows(cut, "file")})
     """
 
 
-def normalized(column: str) -> str:
-    ends_off = f"regexp_replace(lower({column}), '^\\s+|\\s+$', '', 'g')"
-    single = f"regexp_replace({ends_off}, '\\s+', ' ', 'g')"
-    return f"regexp_replace({single}, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g')"
-
-
 def clean(findings: str) -> str:
     return f"""
-        SELECT file, type, line, snippet, severity FROM (
+        SELECT * EXCLUDE (place) FROM (
             SELECT *, row_number() OVER (
-                PARTITION BY type, md5({normalized("snippet")}) ORDER BY length(file), file, line, snippet
+                PARTITION BY type, match_key ORDER BY length(file), file, line, snippet, match_md5
             ) AS place FROM ({findings})
         ) WHERE place = 1
     """

@@ -36,6 +36,12 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(single_spaced, r"(?U)[^\w\s]", "")
 
 
+def normalized_sql(text: str) -> str:
+    """``normalized`` as SQL text, for use inside other SQL."""
+    stripped = f"regexp_replace(lower({text}), '(?U)^\\\\s+|\\\\s+$', '')"
+    return f"regexp_replace(regexp_replace({stripped}, '(?U)\\\\s+', ' '), '(?U)[^\\\\w\\\\s]', '')"
+
+
 def normalized_hash(text: Column) -> Column:
     return F.md5(normalized(text).cast("binary"))
 

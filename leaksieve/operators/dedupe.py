@@ -14,16 +14,26 @@ SIMILARITY_THRESHOLD = 0.85
 _FIELDS = ("type", "file", "line", "snippet")
 
 
+def _key(findings: DataFrame) -> Column:
+    """The normalised hash of the whole match; of the snippet where no match was saved."""
+    of_snippet = normalized_hash(F.col("snippet"))
+    return F.coalesce("match_key", of_snippet) if "match_key" in findings.columns else of_snippet
+
+
+def _fields(findings: DataFrame) -> list[str]:
+    return [*_FIELDS, *(["match_md5"] if "match_md5" in findings.columns else [])]
+
+
 def clean_duplicates(findings: DataFrame) -> DataFrame:
-    """One finding per type and normalised snippet: the one with the shortest path.
+    """One finding per type and normalised match: the one with the shortest path.
 
-    Ties go to the smallest (file, line, snippet).  ``min_by`` aggregates before
+    Ties go to the smallest (file, line, snippet, md5 of the match).  ``min_by`` aggregates before
     the shuffle, so a value that is everywhere costs one row per input task.
     """
-    order = F.struct(F.length("file"), "file", "line", "snippet")
+    order = F.struct(F.length("file"), *_fields(findings)[1:])
     best = F.min_by(F.struct(*findings.columns), order).alias("_best")
     return (
-        findings.withColumn("_hash", normalized_hash(F.col("snippet")))
+        findings.withColumn("_hash", _key(findings))
         .groupBy("type", "_hash")
         .agg(best)
         .select("_best.*")
@@ -37,16 +47,17 @@ def duplicate_pairs(
     threshold: float = SIMILARITY_THRESHOLD,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Each finding beside the first one with the same normalised snippet.
+    """Each finding beside the first one with the same normalised match.
 
     First by the place of its type in ``type_order``, then by (type, file, line,
-    snippet); the two may be of different types.  Identical records are left out,
-    and pairs less alike than ``threshold``.  The findings are read twice, so
+    snippet, md5 of the match); the two may be of different types.  Identical
+    records are left out, and pairs whose snippets are less alike than ``threshold``.  The findings are read twice, so
     pass a stored table rather than a scan.
     """
-    fields = [c for c in (*_FIELDS, "severity") if c in findings.columns]
-    keyed = findings.select(*fields, normalized_hash(F.col("snippet")).alias("_hash"))
-    order = F.struct(_place(F.col("type"), type_order), *_FIELDS)
+    by = _fields(findings)
+    fields = [*_FIELDS, *(c for c in ("severity", *by[len(_FIELDS) :]) if c in findings.columns)]
+    keyed = findings.select(*fields, _key(findings).alias("_hash"))
+    order = F.struct(_place(F.col("type"), type_order), *by)
     firsts = keyed.groupBy("_hash").agg(
         F.min_by(F.struct(*fields), order).alias("first"), F.count(F.lit(1)).alias("n")
     )

@@ -9,12 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leaksieve.functions.text import content_hash
-from leaksieve.operators.scan import scan
-from leaksieve.operators.skew import ROWS_PER_TASK, join_hot
+from leaksieve.operators.scan import FOUND, scan
+from leaksieve.operators.skew import ROWS_PER_TASK, join_hot, maybe_in
 from leaksieve.rules.model import Rule, custom_domain_rule
 from leaksieve.session import ensure_checkpoint_dir
 
-_FOUND = ("type", "line", "snippet", "severity")
 
 
 def ruleset_key(rules: Sequence[Rule], domains: Iterable[str] = (), options: str = "") -> str:
@@ -34,7 +33,7 @@ def scan_contents(
     known: DataFrame | None = None,
     options: str = "",
 ) -> DataFrame:
-    """Findings by content: ``(content_md5, ruleset, type, line, snippet, severity)``.
+    """Findings by content: ``content_md5``, ``ruleset`` and the columns of ``scan.FOUND``.
 
     Every distinct non-empty text gives a row of nulls, which marks it as scanned,
     and a row per finding.  Contents in ``known`` are left out.  ``file`` has to
@@ -65,10 +64,10 @@ def incremental_scan(
     key = ruleset_key(rules, domains, options)
     hashed = _hashed(corpus, file, text).checkpoint()
     fresh = _scan_new(corpus, hashed, rules, file, text, domains, stored, options).checkpoint()
-    by_content = stored.where(F.col("ruleset") == key).unionByName(fresh).where(F.col("type").isNotNull())
+    by_content = stored.where(F.col("ruleset") == key).unionByName(fresh, allowMissingColumns=True).where(F.col("type").isNotNull())
     copies = hashed.groupBy("content_md5").agg(F.count(F.lit(1)).alias("n"))
-    found = by_content.select("content_md5", *_FOUND)
-    return join_hot(hashed, found, "content_md5", copies, rows_per_task).select("file", *_FOUND), fresh
+    found = by_content.select("content_md5", *FOUND)
+    return join_hot(hashed, found, "content_md5", copies, rows_per_task).select("file", *FOUND), fresh
 
 
 def _hashed(corpus: DataFrame, file: str, text: str) -> DataFrame:
@@ -77,17 +76,26 @@ def _hashed(corpus: DataFrame, file: str, text: str) -> DataFrame:
 
 
 def _scan_new(corpus, hashed, rules, file, text, domains, known, options) -> DataFrame:
-    """Scan one file of each content that ``known`` does not have.
+    """Scan one file of each content that ``known`` does not have, where it lies.
 
-    Copies are folded on their hashes, before any shuffle, and one file stands for
-    all.  Texts are then looked up by file, a key without hot values, so they move
-    only if the new files are too many to broadcast.
+    Only hashes are shuffled: copies are folded on them, one file stands for all,
+    and known contents are taken away.  A filter of the chosen files, of fixed size,
+    goes to every task of the corpus.  It lets some other files through, the more
+    the fuller it is; their findings are taken out afterwards, exactly.  Texts never move.
     """
     key = ruleset_key(rules, domains, options)
-    new = hashed.groupBy("content_md5").agg(F.min("file").alias("file"))
+    new = hashed.groupBy("content_md5").agg(F.min(F.xxhash64("file")).alias("_id"))
     if known is not None:
         done = known.where(F.col("ruleset") == key).select("content_md5").distinct()
         new = new.join(done, "content_md5", "left_anti")
-    texts = corpus.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text")).join(new, "file")
-    found = scan(texts, rules, file="content_md5", domains=domains, mark_scanned=True)
-    return found.select(F.col("file").alias("content_md5"), F.lit(key).alias("ruleset"), *_FOUND)
+    ensure_checkpoint_dir(corpus.sparkSession)
+    new = new.checkpoint()  # used twice, and holds hashes only
+    named = corpus.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text"))
+    texts = maybe_in(named.withColumn("_id", F.xxhash64("file")), new, "_id").withColumn(
+        "content_md5", content_hash(F.col("text"))
+    )
+    found = scan(texts, rules, file="content_md5", keep=["_id"], domains=domains, mark_scanned=True)
+    # Not a semi-join: Spark would push that below the scan, and shuffle the texts for it.
+    rows = found.withColumnRenamed("file", "content_md5").join(new, ["content_md5", "_id"])
+    # Two files of one content might share an id.
+    return rows.select("content_md5", F.lit(key).alias("ruleset"), *FOUND).distinct()

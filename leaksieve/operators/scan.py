@@ -1,9 +1,9 @@
 """Run a rule set over whole texts: one row per finding.
 
 The whole scan is one narrow stage.  Per text an array of the rules that can hit
-is built by cheap tests; only those (text, rule) pairs meet the rule's regex, once,
-and repeated findings of one text are dropped inside its row, so nothing is
-shuffled.
+is built by cheap tests; each of those rules' regexes runs once over the text
+inside its row, and only the small findings leave the row, so nothing is shuffled
+and no text is repeated.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.functions.text import fold_case, strip
+from leaksieve.functions.text import fold_case, normalized_sql, strip
 from leaksieve.rules.model import Rule, custom_domain_rule, literal, quote
 
 SNIPPET_LENGTH = 100
@@ -27,7 +27,15 @@ _OPEN, _CLOSE = chr(0xFDD0), chr(0xFDD1)
 
 _WORD_BEFORE_EQUALS = r"(?<![A-Za-z0-9_])([A-Za-z0-9_]++)="
 
-_TEXT, _FOLDED, _RULE = "_text", "_folded", "_rule"
+_TEXT, _FOLDED, _RULE, _RULES = "_text", "_folded", "_rule", "_rules"
+
+# A finding inside its row is one string, because distinct and sort are fast on strings:
+# fields of fixed width, then the snippet.
+_WIDTHS = {_RULE: 5, "line": 10, "match_md5": 32, "match_offset": 10, "match_key": 32}
+_SAME = _WIDTHS[_RULE] + _WIDTHS["line"] + _WIDTHS["match_md5"]
+
+#: What a finding says, beside where it was found.
+FOUND = ("type", "line", "snippet", "severity", "match_offset", "match_md5", "match_key")
 
 # Places behind the last rule: the mark of a scanned text, all keyword rules at once.
 _MARK, _KEYWORDS = 1, 2
@@ -43,7 +51,12 @@ def scan(
     domains: Iterable[str] = (),
     mark_scanned: bool = False,
 ) -> DataFrame:
-    """Findings ``(file, type, line, snippet, severity)`` of every rule in every text.
+    """Findings of every rule in every text: ``file`` and the columns of ``FOUND``.
+
+    A finding is one text that a rule matches on one line: ``match_md5`` is the md5
+    of the whole match, ``match_offset`` the 0-based character where it first
+    starts, ``match_key`` the normalised hash of the whole match.  ``snippet`` is cut
+    for display.
 
     ``file`` has to identify a row of ``corpus``; where it does not, pass the
     result through ``distinct_findings``.  ``keep`` names further corpus columns
@@ -54,43 +67,77 @@ def scan(
     rules = [*rules, domain_rule] if domain_rule else list(rules)
     if not rules:
         raise ValueError("no rules to scan with")
+    _check_literals(corpus)
     ids = [F.col(file).cast("string").alias("file"), *keep]
     texts = corpus.select(*ids, F.col(text).alias(_TEXT)).where(F.length(_TEXT) > 0)
-    candidates = _candidates(texts, rules, ["file", *keep], mark_scanned)
-
-    def of_rule(values: Sequence[str], rule: Column) -> Column:
-        # The places behind the last rule are no rules, and everything is null there.
-        listed = F.expr(f"array({', '.join(map(literal, values))}, NULL, NULL)")
-        return F.element_at(listed, rule)
-
-    rule = F.col(_RULE)
-    patterns = of_rule([r.java for r in rules], rule)
-    found = _with_matches(candidates, patterns, ["file", *keep, _RULE, _TEXT])
-    by_rule = F.array_distinct(F.zip_with("_lines", "_matches", lambda line, match: _packed(rule, line, match)))
-    if mark_scanned:
-        unfound = F.array(F.lit(None).cast("string"))
-        by_rule = F.when(rule == len(rules) + _MARK, unfound).otherwise(by_rule)
-    if any(r.keywords for r in rules):
-        by_keyword = F.expr(_keyword_findings(rules))
-        by_rule = F.when(rule == len(rules) + _KEYWORDS, by_keyword).otherwise(by_rule)
-    number = F.split_part("_finding", F.lit(":"), F.lit(1))
-    line = F.split_part("_finding", F.lit(":"), F.lit(2))
-    rows = found.select("file", *keep, F.explode(by_rule).alias("_finding")).select(
-        "file", *keep, "_finding", number.cast("int").alias(_RULE), line.alias("_line")
-    )
+    framed = _framed(_candidates(texts, rules, ["file", *keep], mark_scanned))
+
+    # A branch per rule, so that every regex is a literal and compiled once a task.
+    plain = [(n, rule) for n, rule in enumerate(rules, 1) if not rule.keywords]
+    regexes = " ".join(f"WHEN {n} THEN {_marked(rule.java)}" for n, rule in plain)
+    ways = [f"WHEN rule = {len(rules) + _MARK} THEN array(CAST(NULL AS STRING))"]
+    if len(plain) < len(rules):
+        ways.append(f"WHEN rule = {len(rules) + _KEYWORDS} THEN {_once(_keyword_findings(rules))}")
+    if plain:
+        by_regex = f"transform(array(CASE rule {regexes} END), marked -> {_once(_located('marked', 'rule'))})"
+        ways.append(f"ELSE element_at({by_regex}, 1)")
+    found = f"explode(flatten(transform({_RULES}, rule -> CASE {' '.join(ways)} END))) AS _finding"
+
+    def of_rule(values: Sequence[str]) -> Column:
+        # The place is null in the mark of a scanned text.
+        return F.expr(f"element_at(array({', '.join(map(literal, values))}, NULL), {_RULE})")
+
+    rows = framed.selectExpr("file", *keep, found).select("file", *keep, *_unpacked("_finding"))
     return rows.select(
         "file",
         *keep,
-        of_rule([r.name for r in rules], rule).alias("type"),
-        F.col("_line").cast("int").alias("line"),
-        F.expr(f"substring(_finding, length(string({_RULE})) + length(_line) + 3)").alias("snippet"),
-        of_rule([r.severity for r in rules], rule).alias("severity"),
+        of_rule([r.name for r in rules]).alias("type"),
+        "line",
+        "snippet",
+        of_rule([r.severity for r in rules]).alias("severity"),
+        "match_offset",
+        "match_md5",
+        "match_key",
     )
 
 
-def _packed(rule: Column, line: Column, match: Column) -> Column:
-    """``rule:line:snippet``; as one string, distinct takes a hash set and not pairs."""
-    return F.concat_ws(":", rule, line, F.substring(match, 1, SNIPPET_LENGTH))
+def _check_literals(corpus: DataFrame) -> None:
+    """Rules are written as SQL literals, whose escapes a session can turn off."""
+    if corpus.sparkSession.conf.get("spark.sql.parser.escapedStringLiterals") == "true":
+        raise ValueError("the scan needs spark.sql.parser.escapedStringLiterals=false")
+
+
+def _packed(rule: str, line: str, match: str, offset: str) -> str:
+    """SQL for one finding as one string, fields as wide as ``_WIDTHS`` says."""
+    return f"""concat(
+        lpad({rule}, 5, '0'), lpad({line}, 10, '0'), md5(CAST({match} AS BINARY)), lpad({offset}, 10, '0'),
+        md5(CAST({normalized_sql(match)} AS BINARY)), substring({match}, 1, {SNIPPET_LENGTH})
+    )"""
+
+
+def _unpacked(finding: str) -> list[Column]:
+    fields, at = [], 1
+    for name, width in _WIDTHS.items():
+        field = F.substring(finding, at, width)
+        fields.append((field if width == 32 else field.cast("int")).alias(name))
+        at += width
+    return [*fields, F.expr(f"substring({finding}, {at})").alias("snippet")]
+
+
+def _once(findings: str) -> str:
+    """SQL for one finding per rule, line and match, the first, of an array of packed ones."""
+    return f"""element_at(transform(array(sort_array({findings})), sorted -> filter(
+        sorted, (f, i) -> i = 0 OR substring(f, 1, {_SAME}) <> substring(get(sorted, i - 1), 1, {_SAME})
+    )), 1)"""
+
+
+def _running_sums(numbers: str) -> str:
+    """SQL for the inclusive running sums of an array, in as many passes as its size has bits."""
+    return f"""aggregate(
+        sequence(0, CAST(ceil(log2(greatest(size({numbers}), 1))) AS INT)),
+        {numbers},
+        (sums, k) -> transform(sums, (x, i) -> x + coalesce(get(sums, i - shiftleft(1, k)), 0))
+    )"""
 
 
 def search(
@@ -103,13 +150,16 @@ def search(
     """
     if not term:
         raise ValueError("empty search term")
+    _check_literals(corpus)
     ids = [F.col(file).cast("string").alias("file"), *keep]
     texts = corpus.select(*ids, F.col(text).alias(_TEXT)).where(F.col(_TEXT).contains(term))
-    found = _with_matches(texts, F.lit("(?d)" + quote(term)), ["file", *keep])
+    marked = f"transform(array({_marked('(?d)' + quote(term))}), marked -> {_located('marked', '0')})"
     # Not a bare column: Spark would infer a filter on it and push the search below
     # any exchange of the corpus, there to run a second time.
-    lines = F.filter("_lines", lambda line: line > 0)
-    rows = found.select("file", *keep, F.explode(lines).alias("line"))
+    found = _framed(texts.select("file", *keep, _TEXT)).selectExpr(
+        "file", *keep, f"explode(flatten({marked})) AS _finding"
+    )
+    rows = found.select("file", *keep, *_unpacked("_finding"))
     return rows.select(
         "file",
         *keep,
@@ -117,13 +167,16 @@ def search(
         "line",
         strip(F.lit(term)).alias("snippet"),
         F.lit(SEARCH_SEVERITY).alias("severity"),
-        F.md5(F.lit(term).cast("binary")).alias("hash"),
+        "match_offset",
+        "match_md5",
+        "match_key",
+        F.col("match_md5").alias("hash"),
     )
 
 
 def distinct_findings(findings: DataFrame) -> DataFrame:
-    """One row per (type, file, line, snippet), for corpora with several rows a file."""
-    return findings.dropDuplicates(["type", "file", "line", "snippet"])
+    """One row per (type, file, line, whole match), for corpora with several rows a file."""
+    return findings.dropDuplicates(["type", "file", "line", "match_md5"])
 
 
 def union_findings(first: DataFrame, *others: DataFrame) -> DataFrame:
@@ -136,7 +189,7 @@ def union_findings(first: DataFrame, *others: DataFrame) -> DataFrame:
 def _candidates(
     texts: DataFrame, rules: Sequence[Rule], ids: Sequence[str], mark_scanned: bool = False
 ) -> DataFrame:
-    """One row per text and rule that can hit in it, with the rule's 1-based position.
+    """The texts with the 1-based positions of the rules that can hit in them.
 
     The expressions are written as SQL: hundreds of them parse at once, where
     hundreds of Column calls take seconds to put together.
@@ -163,7 +216,7 @@ def _candidates(
         gated = f"CASE WHEN contains({_TEXT}, '=') THEN {holds_one} ELSE false END"
         lists.append(f"array_compact(array(CASE WHEN {gated} THEN {len(rules) + _KEYWORDS} END))")
     found = f"concat({', '.join(lists)})" if len(lists) > 1 else lists[0]
-    return prepared.select(*ids, _TEXT, F.expr(f"explode({found})").alias(_RULE))
+    return prepared.select(*ids, _TEXT, F.expr(found).alias(_RULES))
 
 
 def _tests(rule: Rule) -> list[str]:
@@ -188,9 +241,10 @@ def _keyword_findings(rules: Sequence[Rule]) -> str:
 
     Such a match never leaves a run of non-blank characters, and a run holds at
     most one per rule, because its value takes the rest of the run.  So the runs
-    with a ``=`` are listed with their line, their words before ``=`` looked up,
+    with a ``=`` are listed with their place, their words before ``=`` looked up,
     and only the rules found that way tried on them: one pass over the text,
-    however many rules there are and however many of them hit.
+    however many rules there are and however many of them hit.  A match ends with
+    the last word of its run, so it is the last of its kind there.
     """
     by_keyword: dict[str, list[int]] = {}
     for n, rule in enumerate(rules, 1):
@@ -199,70 +253,72 @@ def _keyword_findings(rules: Sequence[Rule]) -> str:
     known = f"array({', '.join(map(literal, by_keyword))})"
     rules_of = ", ".join(f"array({', '.join(map(str, ns))})" for ns in by_keyword.values())
     patterns = ", ".join(literal(rule.java) if rule.keywords else "NULL" for rule in rules)
-    matched = f"regexp_extract(run.run, element_at(array({patterns}), rule), 0)"
+    lengths = "transform({}, piece -> length(piece) + 1)"
+    line_ends = _running_sums(lengths.format(f"split({_TEXT}, '\\n', -1)"))
+    run_ends = _running_sums(lengths.format("runs"))
+    # Lines with a "=", their number and the place they begin at; then their runs, likewise.
+    lines = f"""filter(
+        transform(
+            zip_with(split({_TEXT}, '\\n', -1), {line_ends}, (line, end) ->
+                named_struct('line', line, 'start', end - length(line) - 1)),
+            (x, n) -> named_struct('n', n + 1, 'line', x.line, 'start', x.start)
+        ),
+        x -> contains(x.line, '=')
+    )"""
+    runs = f"""flatten(transform(array(split(x.line, '(?U)\\\\s', -1)), runs -> filter(
+        zip_with(runs, {run_ends}, (run, end) ->
+            named_struct('n', x.n, 'run', run, 'start', x.start + end - length(run) - 1)),
+        r -> contains(r.run, '=')
+    )))"""
+    start = "run.start + length(run.run) - instr(reverse(run.run), reverse(match)) - length(match) + 1"
     return f"""
-        filter(array_distinct(flatten(transform(
-            flatten(transform(
-                filter(
-                    transform(split({_TEXT}, '\\n', -1), (line, n) -> named_struct('n', n + 1, 'line', line)),
-                    numbered -> contains(numbered.line, '=')
-                ),
-                numbered -> transform(
-                    filter(split(numbered.line, '(?U)\\\\s+', -1), run -> contains(run, '=')),
-                    run -> named_struct('n', numbered.n, 'run', run)
-                )
-            )),
-            run -> transform(
+        flatten(transform(
+            flatten(transform({lines}, x -> {runs})),
+            run -> flatten(transform(
                 flatten(transform(
                     array_intersect({_words_before_equals('run.run')}, {known}),
                     word -> element_at(map_from_arrays({known}, array({rules_of})), word)
                 )),
-                rule -> concat_ws(':', rule, run.n, substring({matched}, 1, {SNIPPET_LENGTH}))
-            )
-        ))), found -> NOT rlike(found, '^[0-9]+:[0-9]+:$'))
+                rule -> transform(
+                    filter(array(regexp_extract(run.run, element_at(array({patterns}), rule), 0)), m -> m <> ''),
+                    match -> {_packed('rule', 'run.n', 'match', start)}
+                )
+            ))
+        ))
     """
 
 
-def _with_matches(texts: DataFrame, pattern: Column, ids: Sequence[str]) -> DataFrame:
-    """Adds ``_matches`` of ``pattern`` in order and the ``_lines`` they start on, or nulls.
-
-    Every match is framed by two markers.  Cutting at the opening ones gives the
-    matches; counting the opening ones line by line gives their line numbers.
-    Both are linear in the text, however many matches it has.
-    """
-    text, marked, opening, closing = map(F.col, (_TEXT, "_marked", "_open", "_close"))
+def _framed(texts: DataFrame) -> DataFrame:
+    """Adds the markers ``_open`` and ``_close`` that frame matches in a text."""
+    text = F.col(_TEXT)
     holds_marker = text.contains(_OPEN) | text.contains(_CLOSE)
     own_tag = F.concat(F.lit(_OPEN), F.md5(text.cast("binary")))
-    framed = texts.select(
-        *dict.fromkeys([*ids, _TEXT]),
+    return texts.select(
+        "*",
         F.when(holds_marker, F.concat(own_tag, F.lit("<"))).otherwise(F.lit(_OPEN)).alias("_open"),
         F.when(holds_marker, F.concat(own_tag, F.lit(">"))).otherwise(F.lit(_CLOSE)).alias("_close"),
-        pattern.alias("_pattern"),
-    ).select(
-        *ids,
-        "_open",
-        "_close",
-        F.regexp_replace(text, F.col("_pattern"), F.concat(opening, F.lit("$0"), closing)).alias("_marked"),
     )
 
-    def times_opened(line: Column) -> Column:
-        cut = F.length(line) - F.length(F.replace(line, opening, F.lit("")))
-        return (cut / F.length(opening)).cast("int")
 
-    pieces = F.split(marked, opening, -1)
-    matches = F.transform(
-        F.slice(pieces, F.lit(2), F.size(pieces)), lambda piece: F.split_part(piece, closing, F.lit(1))
-    )
-    lines = F.flatten(
-        F.transform(
-            F.split(marked, "\n", -1),
-            lambda line, n: F.when(
-                line.contains(opening), F.array_repeat(n + F.lit(1), times_opened(line))
-            ).otherwise(F.array().cast("array<int>")),
-        )
-    )
-    # Null where nothing matched: a filter would be pushed down and replace twice.
-    matched = marked.contains(opening)
-    return framed.select(
-        *ids, F.when(matched, matches).alias("_matches"), F.when(matched, lines).alias("_lines")
-    )
+def _marked(regex: str) -> str:
+    """SQL for the text with every match of ``regex`` between two markers."""
+    return f"regexp_replace({_TEXT}, {literal(regex)}, concat(_open, '$0', _close))"
+
+
+def _located(marked: str, rule: str) -> str:
+    """SQL for the packed matches of a marked text.
+
+    Cutting at the opening markers gives the matches and, summed up, their places;
+    counting the opening ones line by line gives their line numbers.  Every step is
+    linear in the text, however many matches it has, but for the running sums.
+    """
+    opened = "CAST((length(line) - length(replace(line, _open, ''))) / length(_open) AS INT)"
+    lines = f"""flatten(transform(split({marked}, '\\n', -1), (line, n) ->
+        CASE WHEN contains(line, _open) THEN array_repeat(n + 1, {opened}) ELSE CAST(array() AS ARRAY<INT>) END))"""
+    ends = _running_sums("transform(pieces, (piece, i) -> length(piece) - CASE WHEN i = 0 THEN 0 ELSE length(_close) END)")
+    # Every match starts where the piece before it ends.
+    places = f"zip_with({lines}, slice({ends}, 1, size(pieces) - 1), (n, start) -> named_struct('n', n, 'start', start))"
+    packed = f"transform(array(split_part(piece, _close, 1)), match -> {_packed(rule, 'place.n', 'match', 'place.start')})"
+    zipped = f"zip_with(slice(pieces, 2, size(pieces)), {places}, (piece, place) -> {packed})"
+    return f"""CASE WHEN contains({marked}, _open) THEN flatten(transform(array(split({marked}, _open, -1)), pieces ->
+        flatten({zipped}))) ELSE CAST(array() AS ARRAY<STRING>) END"""

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions.severity import severity_rank
-from leaksieve.operators.crawl import MAX_DEPTH, crawl
+from leaksieve.operators.crawl import reach
 from leaksieve.operators.dedupe import clean_duplicates
 from leaksieve.operators.links import page_edges
 from leaksieve.operators.report import run_stats, severity_type_counts
 from leaksieve.operators.scan import scan, search
+from leaksieve.operators.skew import maybe_in
 from leaksieve.rules.model import Rule
 from leaksieve.sources.findings import read_findings, write_findings
 from leaksieve.sources.tables import pages_corpus
@@ -39,12 +40,19 @@ def scan_run(
     The raw findings are written once and read back, so the clean-up and the
     counts do not scan again.
     """
-    spark = corpus.sparkSession
-    found = search(corpus, term) if term else scan(corpus, rules, domains=domains)
+    return _saved(_found(corpus, rules, domains, term), corpus, out)
+
+
+def _found(corpus: DataFrame, rules: Sequence[Rule], domains: Iterable[str], term: str | None) -> DataFrame:
+    return search(corpus, term) if term else scan(corpus, rules, domains=domains)
+
+
+def _saved(found: DataFrame, processed: DataFrame, out: str) -> Run:
+    spark = found.sparkSession
     write_findings(found, f"{out}/raw_scan_results")
     clean_up_run(spark, f"{out}/raw_scan_results", f"{out}/scan_results")
     raw, clean = (read_findings(spark, f"{out}/{name}") for name in ("raw_scan_results", "scan_results"))
-    return Run(raw, clean, run_stats(corpus, raw, clean))
+    return Run(raw, clean, run_stats(processed, raw, clean))
 
 
 def clean_up_run(spark: SparkSession, raw_path: str, clean_path: str, *, one_array: bool = False) -> None:
@@ -58,14 +66,23 @@ def web_run(
     out: str,
     rules: Sequence[Rule] = (),
     *,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int,
     domains: Iterable[str] = (),
     term: str | None = None,
 ) -> Run:
-    """Scan the stored pages ``(url, html)`` that a crawl from ``seeds (url)`` reaches."""
-    reached = crawl(seeds, page_edges(pages), max_depth=max_depth)
-    fetched = pages.join(reached.select("url").distinct(), "url", "left_semi")
-    return scan_run(pages_corpus(fetched), out, rules, domains=domains, term=term)
+    """Scan the stored pages ``(url, html)`` that a crawl from ``seeds (url)`` reaches.
+
+    The pages are scanned where they lie; only their URLs and findings are joined
+    with what was reached.
+    """
+    reached = reach(seeds, page_edges(pages), max_depth=max_depth).select("url")
+    wanted = reached.select(F.xxhash64("url").alias("_id"))
+    near = maybe_in(pages.withColumn("_id", F.xxhash64("url")), wanted, "_id")
+    found = _found(pages_corpus(near), rules, domains, term)
+    named = reached.withColumnRenamed("url", "file")
+    processed = pages.select("url").join(reached, "url", "left_semi")
+    # Not a semi-join: Spark would push that below the scan, and shuffle the pages for it.
+    return _saved(found.join(named, "file").select(*found.columns), processed, out)
 
 
 def worst_first(clean: DataFrame) -> DataFrame:

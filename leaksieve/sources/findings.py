@@ -6,7 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-FINDING_SCHEMA = "type string, file string, line int, snippet string, severity string, hash string"
+FINDING_SCHEMA = (
+    "type string, file string, line int, snippet string, severity string, "
+    "match_offset int, match_md5 string, match_key string, hash string"
+)
 
 
 def read_findings(spark: SparkSession, path: str, *, one_array: bool = False) -> DataFrame:

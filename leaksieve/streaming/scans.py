@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from leaksieve.functions.text import content_hash
 from leaksieve.operators.scan import scan
 from leaksieve.rules.model import Rule
 
@@ -18,23 +16,11 @@ def scan_stream(
     *,
     file: str = "file",
     text: str = "text",
-    event_time: str | None = None,
-    skip_copies_within: str | None = None,
+    keep: Sequence[str] = (),
     domains: Iterable[str] = (),
 ) -> DataFrame:
-    """Findings of a streaming DataFrame; the scan itself keeps no state.
+    """Findings of a streaming DataFrame, copies of a text under their own names.
 
-    With ``skip_copies_within`` (such as ``"1 hour"``) a text whose content was
-    seen that recently is not scanned again; the state holds content hashes only
-    and is dropped as the watermark on ``event_time`` passes.
+    The scan keeps no state; ``keep`` names columns to carry, such as the event time.
     """
-    keep = [event_time] if event_time else []
-    if skip_copies_within:
-        if not event_time:
-            raise ValueError("skip_copies_within needs event_time")
-        texts = (
-            texts.withColumn("_content", content_hash(F.col(text)))
-            .withWatermark(event_time, skip_copies_within)
-            .dropDuplicatesWithinWatermark(["_content"])
-        )
     return scan(texts, rules, file=file, text=text, keep=keep, domains=domains)

@@ -30,7 +30,7 @@ def test_stored_findings_are_used_as_they_are(spark):
     first = corpus(spark, "AB123CD77")
     stored = scan_contents(first, RULES).selectExpr(
         "content_md5", "ruleset", "replace(type, 'Car', 'Edited') AS type", "line", "snippet", "severity"
-    )
+    )  # an older store without the later columns
     findings, fresh = incremental_scan(first, RULES, stored)
     assert [r.type for r in findings.collect()] == ["Edited Plate Number"] and fresh.count() == 0
 
@@ -50,3 +50,20 @@ def test_other_rules_or_options_do_not_use_the_store(spark):
         ruleset_key(user_rules({"a": "c"})),
     }
     assert len(keys) == 6
+
+
+def test_texts_never_move(spark, tmp_path):
+    corpus(spark, "AB123CD77", "XY123CD77 and", "nothing", "AB123CD77").write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    stored = scan_contents(texts.where("file = '2'"), RULES)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = scan_contents(texts, RULES, known=stored)
+        plan = fresh._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [block for block in plan.split("\n\n") if "Exchange" in block.strip().split("\n")[0] and "Input" in block]
+        assert moved and not any("text#" in block or "_text#" in block for block in moved)
+        assert {r.snippet for r in fresh.where("type is not null").collect()} == {"AB123CD77", "XY123CD77"}
+        assert fresh.where("type is null").count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

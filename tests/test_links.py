@@ -6,7 +6,7 @@ from urllib.parse import urljoin, urlparse
 from pyspark.sql import functions as F
 
 from leaksieve.functions import urls
-from leaksieve.operators.crawl import crawl
+from leaksieve.operators.crawl import crawl, reach
 from leaksieve.operators.links import at_depth, extract_links, filter_links, page_edges
 from leaksieve.operators.web import name_files, route_responses
 
@@ -96,8 +96,14 @@ def test_crawl_agrees_with_a_walk_by_hand(spark):
     table = spark.createDataFrame([(s,) for s in seeds], "url string")
     for max_depth, leaf_files in ((0, False), (2, False), (3, True)):
         expected = set().union(*(_reach(s, links, max_depth, leaf_files) for s in seeds))
-        got = crawl(table, edges, max_depth=max_depth, leaf_files=leaf_files)
-        assert sorted(map(tuple, got.collect())) == sorted(expected)
+        for rows_per_task in (1, 1_000_000):  # every page shared by two seeds a hub, or none
+            got = crawl(table, edges, max_depth=max_depth, leaf_files=leaf_files, rows_per_task=rows_per_task)
+            assert sorted(map(tuple, got.collect())) == sorted(expected)
+        least = {}
+        for _, url, depth in expected:
+            least[url] = min(depth, least.get(url, depth))
+        at_once = reach(table, edges, max_depth=max_depth, leaf_files=leaf_files)
+        assert sorted(map(tuple, at_once.collect())) == sorted(least.items())
     at_home = crawl(table, edges, max_depth=9, same_host=True)
     assert at_home.where("split(seed, '/')[2] != split(url, '/')[2]").count() == 0
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from leaksieve.operators.dedupe import clean_duplicates
@@ -45,6 +46,34 @@ def test_snippet_is_cut_at_100_characters(spark):
     assert hit[1:] == (2, "AAAA" + "x" * 96)
 
 
+def test_the_whole_match_is_what_counts(spark):
+    issued = "eyJ" + "h" * 120 + "."
+    text = f"é {issued}a.s {issued}b.s {issued}a.s"
+    findings = scan(corpus(spark, text, text), [RULES["JWT Token"]])
+    places = sorted((r.match_offset, r.match_md5, r.snippet) for r in findings.where("file = '0'").collect())
+    matches = [f"{issued}a.s", f"{issued}b.s"]
+    assert places == [(text.index(m), hashlib.md5(m.encode()).hexdigest(), m[:100]) for m in matches]
+    assert clean_duplicates(findings).count() == 2 and distinct_findings(findings.union(findings)).count() == 4
+
+
+def test_places_agree_with_a_walk_by_hand(spark):
+    text = "пароль\n \tkey x\u00a0secret_key=1;api_key=2!\n\nAB123CD77 AB123CD77 é AB123CD78\nend https://a.example.com/x" * 3
+    findings = scan(corpus(spark, text), extended(), domains=["example.com"])
+    for row in findings.collect():
+        assert text[row.match_offset :].startswith(row.snippet)
+        assert text.count("\n", 0, row.match_offset) + 1 == row.line
+    assert {"Car Plate Number", "Custom Domain URL"} <= {r.type for r in findings.collect()}
+
+
+def test_escaped_literals_are_refused(spark):
+    spark.conf.set("spark.sql.parser.escapedStringLiterals", "true")
+    try:
+        with pytest.raises(ValueError):
+            scan(corpus(spark, "x"), standard_rules())
+    finally:
+        spark.conf.unset("spark.sql.parser.escapedStringLiterals")
+
+
 def test_custom_domains(spark):
     def hits(text):
         return found(spark, text, "Azure Storage Key", domains=["example.com", " "])
