@@ -23,14 +23,19 @@ def split_list(values: DataFrame, column: str, separator: str = ",") -> DataFram
     return entries(values.select(F.explode(parts).alias("entry")), "entry")
 
 
-def domains_in(spark: SparkSession, source: str) -> list[str]:
+def domains_in(spark: SparkSession, source: str, *, most: int = 10_000) -> list[str]:
     """Domains of a comma-separated string, or of a list file if one has that name.
 
-    A list of domains is part of the job's settings and is held on the driver.
+    A list of domains is part of the job's settings and is held on the driver; one of
+    more than ``most`` is refused.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(source)
     is_file = "," not in source and path.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(path)
     if is_file:
-        return [row.entry for row in read_list(spark, source).collect()]
-    return [d.strip() for d in source.split(",") if d.strip()]
+        found = [row.entry for row in read_list(spark, source).take(most + 1)]
+    else:
+        found = [d.strip() for d in source.split(",") if d.strip()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} domains in {source[:100]!r}")
+    return found
 

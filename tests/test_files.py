@@ -92,6 +92,9 @@ def test_lists(spark, tmp_path):
     assert [r.entry for r in lists.read_list(spark, str(listed)).collect()] == ["a.com", "b.org"]
     assert lists.domains_in(spark, str(listed)) == ["a.com", "b.org"]
     assert lists.domains_in(spark, " a.com,, b.org ") == ["a.com", "b.org"]
+    for source in (str(listed), "a.com,b.org"):
+        with pytest.raises(ValueError):
+            lists.domains_in(spark, source, most=1)
 
 
 def test_findings_round_trip(spark, tmp_path):
