@@ -2,10 +2,11 @@
 
 Words are runs of letters and digits in lower case, shingles five of them (fewer for an item of fewer words). A
 document is contaminated by an item if one of its windows of as many words as the item has is at least 0.8 similar:
-shared shingles over all shingles, each counted as often as it occurs. Such a window shares a
-shingle, so only windows laid over a shared shingle are looked at, wherever they lie.
+shared shingles over all shingles, each counted as often as it occurs. Every start is tried, so the parts of an
+item may stand in another order. A window at 0.8 holds at least 0.8 / 1.8 of its and the item's shingles in common: a
+running count over the places of shared shingles leaves out the windows that hold fewer, and no other.
 
-Each such window gets a 64-bit SimHash of its shingles. The fingerprints of items and windows are cut into one block
+Each window that is left gets a 64-bit SimHash of its shingles. The fingerprints of items and windows are cut into one block
 more than the radius, so two that differ in no more bits agree in one block at least: a join on
 (words, block, value) finds all pairs within the radius, and the exact similarity decides on them. At similarity 0.8
 fingerprints differ in 9.6 bits on average; the radius of 21 lies four deviations above.
@@ -86,6 +87,34 @@ def _blocks(fp: str, radius: int) -> Column:
     return F.array(*parts)
 
 
+def _starts(places: Column, size: Column, n_words: Column, width: int, similarity: float) -> Column:
+    """Starts of all windows of ``n_words`` words that hold enough of the sorted ``places`` to be similar to an item.
+
+    A start s belongs to the first place i at or after it; its window holds ``need`` places if place i + need - 1 lies in it.
+    """
+    own, last = F.least(size, n_words) - (width - 1), F.greatest(F.lit(0), size - n_words)
+    share = similarity / (1 + similarity)
+    need = F.greatest(F.lit(1), F.ceil(F.lit(share) * (own + n_words - (width - 1)) - 1e-9).cast("int"))
+    none = F.array().cast("array<int>")
+
+    def run(low: Column, high: Column) -> Column:
+        return F.when(low > high, none).otherwise(F.sequence(low, F.greatest(low, high)))
+
+    def starts(held: Column) -> Column:
+        at, least, own, last = (held[name] for name in ("at", "need", "own", "last"))
+
+        def of_place(place: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(at, i - 1), F.lit(-1))
+            # Past the last place, no window holds enough.
+            far = F.coalesce(F.get(at, i + least - 1), F.lit(2**31 - 1)) - own
+            ends = F.struct(F.greatest(F.lit(0), before + 1, far + 1).alias("low"), F.least(last, place).alias("high"))
+            return bound(ends, lambda e: run(e["low"], e["high"]))
+
+        return F.flatten(F.transform(at, of_place))
+
+    return bound(F.struct(places.alias("at"), need.alias("need"), own.alias("own"), last.alias("last")), starts)
+
+
 def _sent(items: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(items) if rows <= SENT_ROWS else items
 
@@ -123,30 +152,29 @@ def _of_width(
     items = items.withColumn("shingles", shingles_of(F.col("words"), width))
     items = items.withColumn("fp", _simhash(F.col("shingles"))).withColumn("bag", _counted(F.col("shingles")))
     items = saved(items.select("item_id", "n_words", "shingles", "fp", "bag"), "items")
-    anchors = items.select("n_words", F.posexplode_outer("shingles").alias("j", "h")).where("h IS NOT NULL").distinct()
+    anchors = items.select("n_words", F.explode_outer("shingles").alias("h")).where("h IS NOT NULL").distinct()
     anchors = saved(anchors, "item-shingles")
     hashes = [c.alias(n) for c, n in zip(wide_hash(F.col("text")), ("t1", "t2"), strict=True)]
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     # Outer generators throughout: for others the optimizer tests the array first, which computes it anew.
-    # Windows over shared shingles. Only positions move, never words.
+    # Windows with enough shared shingles. Only positions move, never words.
     cut = base.select(*hashes, words_of(F.col("text")).alias("words"))
     cut = cut.select("t1", "t2", F.size("words").alias("size"), shingles_of(F.col("words"), width).alias("shingles"))
     at = cut.select("t1", "t2", "size", F.posexplode_outer("shingles").alias("p", "h"))
-    laid = at.join(_sent(anchors, anchors.count()), "h").select(
-        "t1",
-        "t2",
-        "n_words",
-        F.greatest(F.lit(0), F.least(F.col("p") - F.col("j"), F.col("size") - F.col("n_words"))).alias("start"),
-    )
-    places = laid.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "n_words")).alias("places"))
+    shared_at = at.join(_sent(anchors, anchors.count()), "h").groupBy("t1", "t2", "size", "n_words")
+    shared_at = shared_at.agg(F.array_sort(F.collect_set("p")).alias("at"))
+    starts = _starts(F.col("at"), F.col("size"), F.col("n_words"), width, similarity)
+    places = shared_at.select("t1", "t2", "n_words", starts.alias("starts")).where(F.size("starts") > 0)
+    places = places.groupBy("t1", "t2").agg(F.collect_list(F.struct("n_words", "starts")).alias("places"))
 
     # The windows' own shingles, bags and fingerprints.
     held = base.select("*", *hashes).join(saved(places, "windows"), ["t1", "t2"])
     held = held.select("doc_id", words_of(F.col("text")).alias("words"), "places")
     held = held.select("doc_id", shingles_of(F.col("words"), width).alias("all"), F.explode_outer("places").alias("w"))
-    window = F.slice("all", F.col("w.start") + 1, F.col("w.n_words") - (width - 1))
-    windows = held.select("doc_id", "w.*", window.alias("shingles"))
+    held = held.select("doc_id", "all", "w.n_words", F.explode_outer("w.starts").alias("start"))
+    window = F.slice("all", F.col("start") + 1, F.col("n_words") - (width - 1))
+    windows = held.select("doc_id", "start", "n_words", window.alias("shingles"))
     windows = windows.select("doc_id", "start", "n_words", _simhash(F.col("shingles")).alias("fp"), _counted(F.col("shingles")).alias("bag"))
     windows = windows.withColumn("blocks", _blocks("fp", radius)).select("*", F.explode_outer("blocks").alias("b"))
     windows = windows.select("doc_id", "start", "n_words", "b.*", "fp", "bag", "blocks")

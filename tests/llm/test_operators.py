@@ -284,6 +284,57 @@ def test_decontamination_finds_near_windows_and_nothing_else(spark):
     assert decontamination.contaminated(frame(spark, docs), benchmark.limit(0)).collect() == []
 
 
+def windows_by_hand(words, item, width=5):
+    """(similarity, start) of every window of the item's words that is similar enough."""
+    bag = lambda run: Counter(tuple(run[k : k + width]) for k in range(len(run) - width + 1))
+    mine, out = bag(item), []
+    for start in range(max(1, len(words) - len(item) + 1)):
+        own = bag(words[start : start + len(item)])
+        both = (own & mine).total()
+        if both and both / (own.total() + mine.total() - both) >= 0.8:
+            out.append((both / (own.total() + mine.total() - both), start))
+    return out
+
+
+def test_decontamination_tries_every_start(spark):
+    rng = random.Random(88)
+    made = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    items = {k: made(n) for k, n in enumerate((100, 100, 40, 57))} | {4: ["la"] * 30}
+    docs = {
+        cut: made(25) + item[cut:] + item[:cut] + made(25)
+        for cut, item in [(20, items[0]), (30, items[0]), (50, items[1]), (70, items[1])]
+    }
+    docs |= {1: items[2][:39], 2: items[3][:-2], 3: made(3) + items[3] + made(2) + items[3], 4: ["la"] * 33, 5: items[2][:30]}
+    docs |= {6: items[0][50:] + made(40) + items[0][:50], 7: items[2][20:] + items[2][:20]}
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = decontamination.contaminated(frame(spark, [(k, " ".join(w)) for k, w in docs.items()]), benchmark).collect()
+    want = {}
+    for doc_id, words in docs.items():
+        for item_id, item in items.items():
+            if windows := windows_by_hand(words, item):
+                best = max(windows, key=lambda w: (w[0], -w[1]))
+                want[doc_id, item_id] = (*best, len(windows))
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start, r.windows) for r in found} == want
+    assert {(20, 0), (30, 0), (50, 1), (70, 1), (1, 2)} <= set(want)
+
+
+def test_decontamination_query_against_every_start(spark):
+    con, want = views(SF), {}
+    words = lambda text: language_id.regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
+    grams = lambda run: {tuple(run[k : k + 5]) for k in range(len(run) - 4)}
+    items = [(k, words(t)) for k, t in con.sql("SELECT item_id, text FROM benchmark").fetchall()]
+    items = [(k, item, grams(item)) for k, item in items]
+    for doc_id, text in con.sql("SELECT doc_id, text FROM documents").fetchall():
+        own = words(text)
+        held = grams(own)
+        for item_id, item, theirs in items:
+            if held & theirs and (windows := windows_by_hand(own, item)):
+                best = max(windows, key=lambda w: (w[0], -w[1]))
+                want[doc_id, item_id] = (*best, len(item), len(windows))
+    rows = decontamination.op8_benchmark_decontamination(spark, SF).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_words, r.windows) for r in rows} == want and want
+
+
 # ----------------------------------------------------------------- language ID
 
 
