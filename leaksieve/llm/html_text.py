@@ -6,7 +6,9 @@ messages go from the leaves to the root and back; a block is kept if the margina
 
 The potentials are counts over labelled pages, mixed with a prior: pages that mark their article by ``article`` or ``main``
 label their nodes themselves. Elements that are
-boilerplate by tag or name, and all in them, have no content potential and send no message.
+boilerplate by tag, and all in them, have no content potential and send no message. Names of boilerplate and hidden
+elements are features: they hold unless the messages of what lies in such an element say more. An element round the
+marked articles of a page is a wrapper, whatever its name.
 
 A null or empty page gives an empty text; unclosed and misplaced tags close as browsers close them. Repeated rows
 give repeated results, null ids and urls stay null. Pages of any length are read whole.
@@ -67,17 +69,33 @@ _TAG = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_VALUES = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_HIDDEN = re.compile(r"(?<![^\s\"'/])hidden(?![\w:-])", re.IGNORECASE)  # as an attribute, looked for outside of values
+_UNSEEN = re.compile(r"style\s*=[^>]*display\s*:\s*none|aria-hidden\s*=\s*[\"']?true\b", re.IGNORECASE)
 
-KINDS = ("boiler", "article", "heading", "text", "list", "table", "box")
+KINDS = ("boiler", "article", "heading", "text", "list", "table", "box", "named")
 _KIND = {tag: "boiler" for tag in BOILER_TAGS} | {"article": "article", "main": "article"}
 _KIND |= {f"h{n}": "heading" for n in range(1, 7)} | dict.fromkeys(("p", "blockquote", "pre", "figcaption"), "text")
 _KIND |= dict.fromkeys(("ul", "ol", "li", "dl", "dt", "dd"), "list")
 _KIND |= dict.fromkeys(("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"), "table")
-NAMES, SIZES, LINKS = ("none", "content", "other"), 5, 3
+NAMES, SIZES, LINKS = ("none", "content", "other", "mixed", "boiler"), 5, 3
 WIDTHS = (len(KINDS), len(NAMES), SIZES, LINKS)
 
 
+def name_of(attributes: str) -> str:
+    """One of NAMES: boiler if a whole name is of boilerplate words or the element is hidden, mixed if a part of one is."""
+    names = [n for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").lower().split()]
+    split = [set(_WORD.findall(name)) for name in names]
+    words = set().union(*split)
+    if "hidden" in names or any(name and name <= BOILER_WORDS for name in split) or _UNSEEN.search(attributes):
+        return "boiler"
+    if _HIDDEN.search(_VALUES.sub(" ", attributes)):
+        return "boiler"
+    if words & BOILER_WORDS:
+        return "mixed"
+    return "content" if words & CONTENT_WORDS else "other" if words else "none"
+
+
 class Page:
     """Block elements in page order, each after its parent, and the blocks of text with their nodes."""
 
@@ -135,11 +153,15 @@ class Page:
             self._end_block()
             words = {w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
             kind = _KIND.get(tag, "box")
-            if kind != "article" and tag not in ("html", "body") and (words & BOILER_WORDS or _HIDDEN.search(attributes)):
-                kind = "boiler"
+            name = name_of(attributes)
+            if name in ("mixed", "boiler"):
+                if kind == "article" or tag in ("html", "body"):
+                    name = "content" if words & CONTENT_WORDS else "other"
+                elif kind in ("box", "list", "table"):
+                    kind = "named"
             self.parent.append(node)
             self.kind.append(KINDS.index(kind))
-            self.name.append(1 if words & CONTENT_WORDS else 2 if words else 0)
+            self.name.append(NAMES.index(name))
             self.marked.append(kind == "article" or "articlebody" in words)
             if tag == "form":
                 self._forms.add(len(self.kind) - 1)
@@ -173,17 +195,37 @@ class Page:
         self._text(source[at:])
         self._close(1)
         self._end_block()
-        # A form round an article is a wrapper of the page.
-        for node in range(len(self.parent)):
-            if self.marked[node]:
-                while (node := self.parent[node]) > 0:
-                    if node in self._forms:
-                        self.kind[node] = KINDS.index("box")
-        # What lies in boilerplate is boilerplate.
-        boiler = KINDS.index("boiler")
+        self._spare()
+        # What lies in boilerplate is boilerplate; boxes in a named element carry its name's doubt on.
+        boiler, named = KINDS.index("boiler"), KINDS.index("named")
+        loose = {KINDS.index(kind) for kind in ("box", "list", "table")}
+        for node in range(1, len(self.parent)):
+            above = self.kind[self.parent[node]]
+            if above == boiler or above == named and self.kind[node] in loose:
+                self.kind[node] = above
+
+    def _spare(self) -> None:
+        """Elements round marked articles are wrappers. Round some of them only, and with another article that stands
+        free, boilerplate holds teasers or comments: forms and names that are boilerplate in part are wrappers then."""
+        boiler, named, box = (KINDS.index(kind) for kind in ("boiler", "named", "box"))
+        whole, part = NAMES.index("boiler"), NAMES.index("mixed")
+        shut = [False] * len(self.parent)  # inside boilerplate that is no wrapper when another article stands free
+        round_ = [0] * len(self.parent)  # how many marked ones each holds
+        for node in range(len(self.parent) - 1, 0, -1):
+            round_[self.parent[node]] += self.marked[node] + round_[node]
+        total = sum(self.marked)
+        for node in range(1, len(self.parent)):
+            own = self.kind[node] == boiler and not (node in self._forms and round_[node])
+            own = own or self.kind[node] == named and self.name[node] == whole
+            shut[node] = shut[self.parent[node]] or own and not 0 < total == round_[node]
+        free = any(m and not s for m, s in zip(self.marked, shut, strict=True))
         for node in range(1, len(self.parent)):
-            if self.kind[self.parent[node]] == boiler:
-                self.kind[node] = boiler
+            if free and shut[node]:
+                if self.marked[node]:
+                    self.marked[node], self.kind[node] = False, named
+            elif round_[node] and self.kind[node] in (boiler, named):
+                self.kind[node] = box
+                self.name[node] = NAMES.index("other") if self.name[node] in (whole, part) else self.name[node]
 
     def features(self) -> np.ndarray:
         """(node, feature): kind, name, size of own text, share of links."""
@@ -193,24 +235,25 @@ class Page:
         return np.stack([np.array(self.kind), np.array(self.name), size, links], axis=1)
 
     def labels(self) -> np.ndarray | None:
-        """1 for nodes inside the marked article and no boilerplate; None if nothing is marked."""
+        """1 for nodes inside the marked article and no boilerplate by tag or name; None if nothing is marked."""
         if not any(self.marked):
             return None
         out = np.zeros(len(self.parent), np.int64)
         for node, above in enumerate(self.parent):
-            if KINDS[self.kind[node]] != "boiler":
+            if KINDS[self.kind[node]] != "boiler" and NAMES[self.name[node]] not in ("mixed", "boiler"):
                 out[node] = self.marked[node] or (above >= 0 and out[above])
         return out
 
 
 def prior() -> tuple[list[np.ndarray], np.ndarray]:
     """Shares before any page is seen: (state, value) of each feature, and (parent's kind, state, child's state)."""
-    kinds = np.array([[0.3, 1e-5, 0.1, 0.15, 0.15, 0.1, 0.2], [0.0, 0.1, 0.15, 0.45, 0.1, 0.05, 0.15]])
-    names = np.array([[0.45, 0.1, 0.45], [0.5, 0.3, 0.2]])
+    kinds = np.array([[0.3, 1e-5, 0.1, 0.15, 0.15, 0.1, 0.15, 0.05], [0.0, 0.1, 0.15, 0.45, 0.1, 0.05, 0.1, 0.05]])
+    names = np.array([[0.35, 0.1, 0.35, 0.1, 0.1], [0.5, 0.3, 0.2, 1e-3, 1e-6]])
     sizes = np.array([[0.4, 0.3, 0.15, 0.1, 0.05], [0.2, 0.1, 0.15, 0.25, 0.3]])
     links = np.array([[0.5, 0.1, 0.4], [0.8, 0.15, 0.05]])
     steps = np.tile(np.array([[0.85, 0.15], [0.02, 0.98]]), (len(KINDS), 1, 1))
     steps[KINDS.index("boiler")] = [[1.0, 0.0], [0.5, 0.5]]
+    steps[KINDS.index("named")] = [[0.99, 0.01], [0.02, 0.98]]
     return [kinds, names, sizes, links], steps
 
 
@@ -227,9 +270,11 @@ class TreeModel:
             self.unary.append(_mix(seen, before, PRIOR if at > 2 * WIDTHS[0] else PRIOR_KIND))
         seen = counts[at:].reshape(len(KINDS), 2, 2)
         self.steps = _mix(seen, steps, PRIOR_EDGE)
-        boiler = KINDS.index("boiler")
+        boiler, named, hits = KINDS.index("boiler"), KINDS.index("named"), [NAMES.index("mixed"), NAMES.index("boiler")]
         self.unary[0][1, boiler] = 0.0
         self.steps[boiler] = steps[boiler]
+        # Labels go by these names themselves, so they teach nothing of them.
+        self.unary[0][:, named], self.unary[1][:, hits], self.steps[named] = unary[0][:, named], unary[1][:, hits], steps[named]
 
     def marginals(self, page: Page) -> np.ndarray:
         """The chance of content of every node."""

@@ -435,6 +435,27 @@ def test_main_text(spark):
     assert html_text.extract_text(table.limit(0)).collect() == []
 
 
+STORY = "".join(f"<p>Paragraph {n} tells at some length what went on that day, and it {'goes on and on ' * 20}.</p>" for n in range(6))
+
+
+@pytest.mark.parametrize("taught", [False, True])
+@pytest.mark.parametrize("wrapper", [
+    'class="layout has-sidebar"', 'id="content-with-sidebar"', 'class="main overflow-hidden"', 'aria-hidden="false"',
+    'class="legal-news"', 'class="sidebar"', "data-state='hidden' title=hidden", 'class="hidden"',
+])
+def test_names_of_wrappers_do_not_decide(wrapper, taught):
+    pages = [ARTICLE, f"<body><div><div><article><h1>Day</h1>{STORY}</article></div></div><footer><p>end</p></footer>"]
+    counts = sum(html_text.page_counts(html_text.Page(page)) for page in pages).astype(float)
+    model = html_text.TreeModel(counts if taught else counts * 0)
+    rest = "<nav><a href=x>Home</a></nav><div class='cookie-notice'><p>We use cookies.</p></div><footer>end</footer>"
+    want = html_text.TreeModel(counts * 0).text(f"<article>{STORY}</article>")
+    assert len(want) > 2000
+    assert model.text(f"<body><div {wrapper}>{STORY}</div>{rest}") == want
+    assert model.text(f"<body><div {wrapper}><div><article>{STORY}</article></div></div>{rest}") == want
+    aside = "<div class='related'><article><p>A teaser of another one.</p></article></div><p hidden>Not seen at all here.</p>"
+    assert model.text(f"<body><div {wrapper}><main>{STORY}</main>{aside}</div>{rest}") == want
+
+
 def test_marginals_are_those_of_all_assignments():
     model = html_text.TreeModel(html_text.page_counts(html_text.Page(ARTICLE)).astype(float))
     page = html_text.Page("<div><p>Some text here, enough of it.</p><ul><li><a href=x>y</a></ul></div><p>z</p>")
