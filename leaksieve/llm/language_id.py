@@ -14,7 +14,8 @@ an answer, but is not learnt from.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,10 +25,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leaksieve.llm.common import binary, table
+from leaksieve.llm.common import binary, saved, table
 
 ORDER = 4
-#: Training takes at most so many rows and bytes of each language.
+#: Training takes so many distinct texts of each language, or all it has, and at most so many bytes of them together.
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 400_000
 #: By language: the distinct grams of the full order, and how often each was seen.
@@ -121,16 +122,22 @@ class ContextTrees:
         return np.stack([np.add.reduceat(cost[place], starts) for cost in costs], axis=1)
 
 
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(Column.__or__, tests, F.lit(False))
+
+
 def learn(labelled: DataFrame, order: int, rows: int, size: int) -> Counts:
-    """The counts of the context trees, from a bounded sample of (lang, text): about ``rows`` rows of a language, chosen
-    by the hash of their texts, and ``size`` bytes of them. What is collected is bounded by that, and by the number of
-    languages."""
+    """The counts of the context trees, from a bounded sample of (lang, text): the ``rows`` distinct texts of a language
+    with the lowest hashes, or all if it has fewer, and ``size`` bytes of them. How often a text is repeated changes
+    nothing. What is collected is bounded by that, and by the number of languages."""
 
     def count(lang: tuple, group: pd.DataFrame) -> pd.DataFrame:
         seen: Counter = Counter()
         left = size
-        for text in group.sort_values(["rank", "text"])["text"]:
-            data = text.encode()[:left]
+        # From the shortest on, each takes up to an equal share of what is left, so that a long one hides no other.
+        texts = sorted((text.encode() for text in group["text"]), key=lambda data: (len(data), data))
+        for number, data in enumerate(texts):
+            data = data[: -(-left // (len(texts) - number))]
             left -= len(data)
             codes, n = np.unique(_grams(np.frombuffer(data, np.uint8), order), return_counts=True)
             seen.update(dict(zip(codes.tolist(), n.tolist(), strict=True)))
@@ -145,14 +152,26 @@ def learn(labelled: DataFrame, order: int, rows: int, size: int) -> Counts:
             }
         )
 
-    # A language's rows are counted first, and only the wanted share of them, by hash, meets in its group.
-    ranked = labelled.where("length(text) > 0").select("lang", "text", F.xxhash64("text").alias("rank"))
-    amount = {r.lang: r.n for r in ranked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # Only hashes are told apart and counted; texts move once they are chosen, a copy of each.
     span = 1 << 31
-    wanted = F.lit(False)
-    for lang, n in amount.items():
-        wanted = wanted | ((F.col("lang") == lang) & (F.pmod("rank", F.lit(span)) < min(span, span * rows // n)))
-    chosen = ranked.where(wanted)
+    ranked = labelled.where("length(text) > 0").select("lang", "text", F.xxhash64("text").alias("rank"))
+    known = saved(ranked.select("lang", "rank").distinct(), "labelled-texts")
+    place = F.pmod("rank", F.lit(span))
+    amount = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    last: dict[str, int] = {}
+    asked = 2 * rows + 100
+    while rest := amount.keys() - last.keys():
+        below = _any((F.col("lang") == lang) & (place < min(span, span * asked // amount[lang])) for lang in sorted(rest))
+        places: dict[str, list[int]] = {}
+        for r in known.where(below).select("lang", place.alias("place")).collect():
+            places.setdefault(r.lang, []).append(r.place)
+        for lang, held in places.items():
+            if len(held) >= min(rows, amount[lang]):
+                last[lang] = sorted(held)[min(rows, amount[lang]) - 1]
+        asked *= 2
+    chosen = ranked.where(_any((F.col("lang") == lang) & (place <= high) for lang, high in sorted(last.items())))
+    # A character is a byte at least.
+    chosen = chosen.groupBy("lang", "rank").agg(F.min(F.substring("text", 1, size)).alias("text"))
     found = chosen.groupBy("lang").applyInPandas(count, "lang string, grams binary, seen binary").collect()
     return {r.lang: (np.frombuffer(r.grams, np.int64), np.frombuffer(r.seen, np.int64)) for r in found}
 

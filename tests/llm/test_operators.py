@@ -379,6 +379,21 @@ def test_language_id(spark):
     assert language_id.identify(empty(spark), teachers).collect() == []
 
 
+def test_copies_and_long_texts_change_no_sample(spark):
+    texts = [("aa", f"text {k} of the first {k * k}") for k in range(20)] + [("bb", f"ein Text {k} {'ab' * k}") for k in range(60)]
+    once = spark.createDataFrame(texts, "lang string, text string")
+    often = spark.createDataFrame(texts[:20] * 100 + texts[20:] + [texts[33]] * 3000, "lang string, text string")
+    few, many = (language_id.learn(table, 2, 20, 10_000) for table in (once, often))
+    assert set(few) == set(many) == {"aa", "bb"}
+    for lang in few:
+        assert all((a == b).all() for a, b in zip(few[lang], many[lang], strict=True))
+    assert few["aa"][1].sum() == sum(len(t) for lang, t in texts if lang == "aa")
+    long = spark.createDataFrame([*texts[:20], *(("aa", f"{k}" * 20_000) for k in range(5))], "lang string, text string")
+    grams, n = language_id.learn(long, 2, 400, 5000)["aa"]
+    assert n.sum() == 5000
+    assert set(few["aa"][0].tolist()) <= set(grams.tolist())
+
+
 # --------------------------------------------------------------------- packing
 
 
