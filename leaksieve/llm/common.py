@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Hashable, Iterable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,3 +49,14 @@ def wide_hash(*columns: Column) -> list[Column]:
 
 def rows_of(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
+
+
+def kept_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once by each Python worker and kept for its later tasks.
+
+    Functions of this package arrive anew with every task, and their globals with them, hence a module of its own.
+    """
+    held = vars(sys.modules.setdefault("_leaksieve_worker", types.ModuleType("_leaksieve_worker"))).setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]

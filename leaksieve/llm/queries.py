@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from leaksieve.llm import decontamination, exact_dedup, html_text, language_id, line_dedup, packing, simhash_dedup, substring_dedup, tool_calls, url_filter
+from leaksieve.llm import (
+    byte_bpe,
+    decontamination,
+    exact_dedup,
+    filter_audit,
+    html_text,
+    importance,
+    language_id,
+    line_dedup,
+    packing,
+    simhash_dedup,
+    substring_dedup,
+    tool_calls,
+    url_filter,
+)
 
 #: name: (query, SQL that gives the same rows, or None where SQL cannot express it).
 QUERIES = {
@@ -16,4 +30,7 @@ QUERIES = {
     "op8_benchmark_decontamination": (decontamination.op8_benchmark_decontamination, decontamination.ORACLE),
     "op9_language_id": (language_id.op9_language_id, None),
     "op10_best_fit_packing": (packing.op10_best_fit_packing, None),
+    "op11_importance_resampling": (importance.op11_importance_resampling, importance.ORACLE),
+    "op12_filter_audit": (filter_audit.op12_filter_audit, filter_audit.ORACLE),
+    "op13_byte_bpe": (byte_bpe.op13_byte_bpe, None),
 }
