@@ -179,17 +179,34 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, held in _grouped(batches, "text"):
         for _, words, before in held:
             seen.update(words[before:])
-        if len(seen) > 200_000:
+        if len(seen) > 500_000:
             yield rows(seen)
             seen = Counter()
     yield rows(seen)
 
 
 def frequent_words(texts: DataFrame, most: int = HEAD) -> list[bytes]:
-    """The most frequent words of at most ``HEAD_BYTES`` bytes, counted over all of ``texts``; equal counts go by the word."""
+    """The most frequent words of at most ``HEAD_BYTES`` bytes, counted over all of ``texts``; at most ``most`` of them.
+
+    Counts are put into classes, 64 for each doubling, and as many whole classes are taken as fit: no more rows than that reach the driver.
+    """
+    if not most:
+        return []
     counted = texts.mapInArrow(_count_words, "word binary, n long").where(F.length("word") <= HEAD_BYTES)
     counted = counted.groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(row.word) for row in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
+    step = F.floor(64 * F.log2("n")).alias("class")
+    counted = saved(counted.select("word", "n", step).where("n > 1"), "words")
+    sizes = counted.groupBy("class").agg(F.count(F.lit(1)).alias("words")).collect()
+    least, taken = None, 0
+    for row in sorted(sizes, key=lambda row: -row["class"]):
+        taken += row.words
+        if taken > most:
+            break
+        least = row["class"]
+    if least is None:
+        return []
+    found = counted.where(F.col("class") >= least).select("word", "n").collect()
+    return [bytes(row.word) for row in sorted(found, key=lambda row: (-row.n, bytes(row.word)))]
 
 
 def bucket_totals(texts: DataFrame, head: Broadcast, buckets: int = BUCKETS) -> np.ndarray:
