@@ -19,54 +19,95 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from leaksieve.llm.common import binary, table
+from leaksieve.llm.common import binary, kept_by_worker, table
 
 LENGTH = 4096
 OPEN_BINS = 256
 END_ID = 1
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it is printable, else one from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]
+
+
 class ChunkEncoder:
     """Token ids of whole texts, put together from the ids of their blank-separated chunks.
 
     The tokenizer drops white space and none of its pieces spans any, so a text's ids are those of its
-    chunks. A-Z are lower-cased first, as it does itself. Ids are little-endian bytes, remembered
-    for at most ``memory`` chunks.
+    chunks. A-Z are lower-cased first, as it does itself. Chunks of ASCII and small Latin-1 letters are cut into pieces as
+    its pattern does, and its model is asked for each piece; other chunks go through all of it. Ids are
+    little-endian bytes, remembered for at most ``memory`` chunks and as many pieces.
+
+    Strings of special tokens are ordinary text; with ``special`` they get their ids, as the library's plain call gives them.
     """
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = 400_000, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memory, self.known = memory, {}
-        self._ending = re.compile(rb"(.*[a-z])([.,])", re.DOTALL)
+        self.model, self.tokenizer.encode_special_tokens = self.tokenizer.model, True
+        self.memory, self.known, self.pieces = memory, {}, {}
+        self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        letters = "a-zß-öø-ÿ"
+        self._simple = re.compile(rf"[!-@\[-~{letters}]+")
+        self._cut = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{letters}]+|[0-9]|[^0-9{letters}]+")
+        self._spelt = str.maketrans({chr(b): letter for b, letter in enumerate(byte_letters())})
+
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._spelt)
+        return b"".join([token.id.to_bytes(4, "little") for token in self.model.tokenize(spelt)])
 
     def _learn(self, chunks: list[bytes]) -> None:
-        """Encodes new chunks as one text and cuts its ids where the chunks begin."""
-        for low in range(0, len(chunks), 20_000):
-            part = chunks[low : low + 20_000]
-            texts = [chunk.decode("utf-8", "replace") for chunk in part]
-            starts = np.cumsum([0, *(len(text) + 1 for text in texts)])
-            found = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
-            begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            ids = np.array(found.ids, "<u4").tobytes()
-            cuts = (4 * np.searchsorted(begins, starts)).tolist()
-            self.known.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        texts = [chunk.decode("utf-8", "replace") for chunk in chunks]
+        odd = []
+        pieces, cut, simple = self.pieces, self._cut.findall, self._simple.fullmatch
+        for chunk, text in zip(chunks, texts, strict=True):
+            if not simple(text):
+                odd.append((chunk, text))
+                continue
+            ids = []
+            for piece in cut(text):
+                found = pieces.get(piece)
+                if found is None:
+                    found = pieces[piece] = self._piece(piece)
+                ids.append(found)
+            self.known[chunk] = b"".join(ids)
+        for low in range(0, len(odd), 20_000):
+            self._learn_odd(odd[low : low + 20_000])
+        if len(pieces) > self.memory:
+            self.pieces = {}
+
+    def _learn_odd(self, part: list[tuple[bytes, str]]) -> None:
+        """Encodes chunks as one text and cuts its ids where the chunks begin."""
+        starts = np.cumsum([0, *(len(text) + 1 for _, text in part)])
+        found = self.tokenizer.encode("\n".join(text for _, text in part), add_special_tokens=False)
+        begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        ids = np.array(found.ids, "<u4").tobytes()
+        cuts = (4 * np.searchsorted(begins, starts)).tolist()
+        self.known.update((chunk, ids[a:b]) for (chunk, _), a, b in zip(part, cuts, cuts[1:], strict=False))
+
+    def _marked(self, text: bytes) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = True
+        return np.array(found, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.lower().split() for text in texts]
-        new = {chunk for chunks in split for chunk in chunks if chunk not in self.known}
+        marked = {n: self._marked(text) for n, text in enumerate(texts) if any(mark in text for mark in self.marks)}
+        split = [[] if n in marked else text.lower().split() for n, text in enumerate(texts)]
+        held = [list(map(self.known.get, chunks)) for chunks in split]
+        new = {chunk for chunks, ids in zip(split, held, strict=True) if None in ids for chunk, own in zip(chunks, ids, strict=True) if own is None}
         if new:
             if len(self.known) + len(new) > self.memory:
                 self.known = {}
-                new = {chunk for chunks in split for chunk in chunks}
-            # A letter and a final stop or comma are pieces of their own: fewer chunks are learnt.
-            ended = {chunk: match for chunk in new if (match := self._ending.fullmatch(chunk))}
-            plain = new - ended.keys() | {b".", b","} | {match[1] for match in ended.values()}
-            self._learn([chunk for chunk in plain if chunk not in self.known])
-            for chunk, match in ended.items():
-                self.known[chunk] = self.known[match[1]] + self.known[match[2]]
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+            self._learn(list(new))
+            get = self.known.get
+            held = [
+                [get(chunk) if own is None else own for chunk, own in zip(chunks, ids, strict=True)] if None in ids else ids
+                for chunks, ids in zip(split, held, strict=True)
+            ]
+        return [marked[n] if n in marked else b"".join(ids) for n, ids in enumerate(held)]
 
 
 class OpenBins:
@@ -121,9 +162,10 @@ def _arrow_schema(with_ids: bool) -> pa.Schema:
 
 
 def _pack(
-    batches: Iterator[pa.RecordBatch], path: str, length: int, most: int, with_ids: bool
+    batches: Iterator[pa.RecordBatch], path: str, length: int, most: int, with_ids: bool, special: bool
 ) -> Iterator[pa.RecordBatch]:
-    encoder, bins = ChunkEncoder(path), OpenBins(length, most)
+    encoder = kept_by_worker(("packing", path, special), lambda: ChunkEncoder(path, special=special))
+    bins = OpenBins(length, most)
     task = TaskContext.get().partitionId() << 40
     end, schema, step = np.array([END_ID], "<u4").tobytes(), _arrow_schema(with_ids), 512
     for batch in batches:
@@ -152,15 +194,18 @@ def pack(
     length: int = LENGTH,
     open_bins: int = OPEN_BINS,
     with_ids: bool = True,
+    special_tokens: bool = False,
 ) -> DataFrame:
     """Per piece: document, piece, start in it, length, CRC-32 of the ids, sequence, place there, ids.
 
-    Only documents longer than ``length`` are cut. ``ids`` are little-endian unsigned 32-bit.
+    Only documents longer than ``length`` are cut. ``ids`` are little-endian unsigned 32-bit. A special token's string in a text is
+    ordinary text, as the vocabularies' own notes have it and as the query and the pipeline take it: no page can write a mark into
+    the sequences. ``special_tokens`` gives such strings their ids, as the library's plain call does.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = SCHEMA if with_ids else SCHEMA.removesuffix(", ids binary")
-    return columns.mapInArrow(lambda batches: _pack(batches, path, length, open_bins, with_ids), schema)
+    return columns.mapInArrow(lambda batches: _pack(batches, path, length, open_bins, with_ids, special_tokens), schema)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
