@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator, Sequence
-from heapq import heappop, heappush
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from leaksieve.llm.common import binary, kept_by_worker, table
 
 #: Pre-tokens whose ids a worker remembers, and the longest of them in characters. Others are encoded whenever they occur.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 500_000, 64
 #: Texts are cut into parts of about so many characters, pre-tokens encoded together into so many bytes.
-PART, TOGETHER = 1 << 18, 1 << 18
-
+PART, TOGETHER = 1 << 18, 1 << 20
+#: Buckets of so many positions are merged with array operations.
+WIDE = 24
 
 def read_ranks(path: str) -> list[bytes]:
     """The tokens of a rank file, by id."""
@@ -45,7 +46,7 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class RankQueue:
-    """Positions by rank, the lowest rank first and the lowest position of it first."""
+    """Positions by rank, the lowest rank first. A bucket is sorted when its turn comes, the lowest position last."""
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
@@ -55,7 +56,7 @@ class RankQueue:
             self.levels.append([0] * ranks)
 
     def put(self, rank: int, positions: list[int]) -> None:
-        """A new bucket, ``positions`` ascending."""
+        """A new bucket."""
         self.buckets[rank] = positions
         for level in self.levels:
             word, bit = rank >> 6, 1 << (rank & 63)
@@ -65,12 +66,29 @@ class RankQueue:
                 break
             rank = word
 
+    def extend(self, positions: np.ndarray, ranks: np.ndarray) -> None:
+        """Adds each position to the bucket of its own rank."""
+        if not len(positions):
+            return
+        own = ranks[positions]
+        order = np.argsort(own, kind="stable")
+        own, positions = own[order], positions[order]
+        cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        listed = positions.tolist()
+        for rank, low, high in zip(own[starts].tolist(), starts, [*starts[1:], len(listed)], strict=True):
+            bucket = self.buckets.get(rank)
+            if bucket is None:
+                self.put(rank, listed[low:high])
+            else:
+                bucket += listed[low:high]
+
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.put(rank, [position])
         else:
-            heappush(bucket, position)
+            bucket.append(position)
 
     def first(self) -> int:
         """The lowest rank that has a bucket; -1 if there is none."""
@@ -109,6 +127,19 @@ class Merger:
                 pairs[token[0] << 8 | token[1]] = rank
         self.pairs = pairs
 
+    @cached_property
+    def _joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted keys (left token, right token) of all pairs that have a rank, and those ranks."""
+        rank_of, found = self.ranks.get, []
+        for rank, token in enumerate(self.tokens):
+            for cut in range(1, len(token)):
+                left, right = rank_of(token[:cut]), rank_of(token[cut:])
+                if left is not None and right is not None:
+                    found.append((left << 32 | right, rank))
+        keys, ranks = np.array(found or [(-1, -1)], np.int64).T
+        order = np.argsort(keys)
+        return keys[order], ranks[order].astype(np.int32)
+
     def merge(self, pieces: Sequence[bytes]) -> list[bytes]:
         """Ids of each piece, as little-endian 32-bit integers."""
         out: list[bytes] = []
@@ -121,7 +152,7 @@ class Merger:
                 held, size = [], 0
         return out + (self._merge(held) if held else [])
 
-    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+    def _merge(self, pieces: list[bytes], wide: int = WIDE) -> list[bytes]:
         """A token is known by the position of its first byte; a gap of one byte stands behind each piece."""
         data = b"\0".join([*pieces, b""])
         ends = np.cumsum([len(piece) + 1 for piece in pieces]) - 1  # the gaps
@@ -138,52 +169,95 @@ class Merger:
         before[0] = -1
         before[ends[:-1] + 1] = -1
         queue = RankQueue(len(self.tokens))
-        waiting = np.flatnonzero(rank >= 0)
-        waiting = waiting[np.argsort(rank[waiting], kind="stable")]
-        cuts = np.flatnonzero(np.diff(rank[waiting])) + 1
-        for positions in np.split(waiting, cuts) if len(waiting) else ():
-            queue.put(int(rank[positions[0]]), positions.tolist())
-        self._run(data, queue, token, rank, after, before)
+        queue.extend(np.flatnonzero(rank >= 0), rank)
+        again = self._run(data, queue, token, rank, after, before, wide)
         left = token >= 0
         ids = token[left].astype("<i4").tobytes()
         upto = (4 * np.cumsum(left)[ends]).tolist()
-        return [ids[a:b] for a, b in zip([0, *upto], upto, strict=False)]
-
-    def _run(self, data: bytes, queue: RankQueue, *columns: np.ndarray) -> None:
-        """Merges until the queue is empty. ``rank[i]`` is that of the pair which begins at i, -1 if there is none."""
-        token, rank, after, before = map(memoryview, columns)
+        out = [ids[a:b] for a, b in zip([0, *upto], upto, strict=False)]
+        for number in np.unique(np.searchsorted(ends, again)).tolist():
+            out[number] = self._merge([pieces[number]], len(data) + 1)[0]
+        return out
+
+    def _run(
+        self, data: bytes, queue: RankQueue, token: np.ndarray, rank: np.ndarray, after: np.ndarray, before: np.ndarray, wide: int
+    ) -> list[int]:
+        """Merges until the queue is empty. ``rank[i]`` is that of the pair which begins at i, -1 if there is none.
+
+        A bucket of ``wide`` positions or more is merged at once. Where that makes a pair of lower rank, which only ranks in no order
+        of merges can, a position is returned: its piece has to be merged one pair at a time.
+        """
+        token_, rank_, after_, before_ = map(memoryview, (token, rank, after, before))
         rank_of, longest, push, buckets = self.ranks.get, self.longest, queue.push, queue.buckets
+        again: list[int] = []
         lowest = queue.first()
         while lowest >= 0:
             bucket = buckets[lowest]
+            if len(bucket) >= wide:
+                queue.drop(lowest)
+                again += self._run_bucket(np.array(bucket), lowest, queue, token, rank, after, before)
+                lowest = queue.first()
+                continue
+            bucket.sort(reverse=True)
             while bucket:
-                at = heappop(bucket)
-                if rank[at] != lowest:
+                at = bucket.pop()
+                if rank_[at] != lowest:
                     continue
-                second = after[at]
-                end = after[second]
-                token[at], token[second], rank[second], after[at] = lowest, -1, -1, end
-                least, follows, ahead = lowest, after[end], before[at]
-                new = -1
+                second = after_[at]
+                end = after_[second]
+                token_[at], token_[second], rank_[second], after_[at] = lowest, -1, -1, end
+                follows, ahead, back, new = after_[end], before_[at], False, -1
                 if follows >= 0:  # else a gap
-                    before[end] = at
+                    before_[end] = at
                     if follows - at <= longest:
                         new = rank_of(data[at:follows], -1)
                         if new >= 0:
                             push(new, at)
-                            least = min(least, new)
-                rank[at] = new
+                            back = new < lowest
+                rank_[at] = new
                 if ahead >= 0:
                     new = rank_of(data[ahead:end], -1) if end - ahead <= longest else -1
-                    rank[ahead] = new
+                    rank_[ahead] = new
                     if new >= 0:
                         push(new, ahead)
-                        least = min(least, new)
-                if least < lowest:  # possible where ranks are not in the order of merges
+                        back = back or new < lowest
+                if back:  # possible where ranks are not in the order of merges
                     break
             else:
                 queue.drop(lowest)
             lowest = queue.first()
+        return again
+
+    def _run_bucket(
+        self, at: np.ndarray, lowest: int, queue: RankQueue, token: np.ndarray, rank: np.ndarray, after: np.ndarray, before: np.ndarray
+    ) -> list[int]:
+        at = np.sort(at[rank[at] == lowest])
+        second = after[at]
+        linked = np.zeros(len(at), bool)
+        linked[1:] = at[1:] == second[:-1]
+        if linked.any():
+            # Pairs that overlap: of each chain the first, third, ... are merged.
+            number = np.arange(len(at))
+            kept = (number - np.maximum.accumulate(np.where(linked, 0, number))) % 2 == 0
+            at, second = at[kept], second[kept]
+        end = after[second]
+        token[at], token[second], rank[second], after[at] = lowest, -1, -1, end
+        inner = after[end] >= 0
+        before[end[inner]] = at[inner]
+        ahead = before[at]
+        changed = np.unique(np.concatenate([at, ahead[ahead >= 0]]))
+        right = after[changed]
+        rank[changed] = -1
+        paired = after[right] >= 0
+        changed, right = changed[paired], right[paired]
+        keys, ranks = self._joined
+        key = token[changed].astype(np.int64) << 32 | token[right]
+        found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[found] == key
+        changed, new = changed[hit], ranks[found[hit]]
+        rank[changed] = new
+        queue.extend(changed, rank)
+        return changed[new < lowest].tolist()
 
 
 class Encoder:
@@ -201,11 +275,7 @@ class Encoder:
             low = found.start()
         yield text[low:]
 
-    def _ids(self, splits: Sequence[list[str]]) -> list[bytes]:
-        fresh = list({piece for pieces in splits for piece in pieces if piece not in self.known})
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = list({piece for pieces in splits for piece in pieces})
+    def _learn(self, fresh: list[str]) -> None:
         data = [piece.encode() for piece in fresh]
         ranks = self.merger.ranks
         whole = [ranks.get(piece) for piece in data]
@@ -214,29 +284,41 @@ class Encoder:
             (piece, next(merged) if rank is None else rank.to_bytes(4, "little"))
             for piece, rank in zip(fresh, whole, strict=True)
         )
-        get = self.known.__getitem__
-        ids = [b"".join(map(get, pieces)) for pieces in splits]
+
+    def _ids(self, parts: Sequence[str]) -> list[bytes]:
+        split = [self.pattern.findall(part) for part in parts]
+        held = [list(map(self.known.get, pieces)) for pieces in split]
+        fresh = {piece for pieces, ids in zip(split, held, strict=True) if None in ids
+                 for piece, own in zip(pieces, ids, strict=True) if own is None}
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known = {}
+        self._learn(list(fresh))
+        get, out = self.known.get, []
+        for pieces, ids in zip(split, held, strict=True):
+            if None in ids:
+                ids = [get(piece) if found is None else found for piece, found in zip(pieces, ids, strict=True)]
+            out.append(b"".join(ids))
         for piece in fresh:
             if len(piece) > REMEMBERED_LENGTH:
                 del self.known[piece]
-        return ids
+        return out
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         out: list[list[bytes]] = []
-        waiting: list[tuple[int, list[str]]] = []
+        waiting: list[tuple[int, str]] = []
         size = 0
 
         def flush() -> None:
-            for (number, _), ids in zip(waiting, self._ids([pieces for _, pieces in waiting]), strict=True):
+            for (number, _), ids in zip(waiting, self._ids([part for _, part in waiting]), strict=True):
                 out[number].append(ids)
             waiting.clear()
 
         for number, text in enumerate(texts):
             out.append([])
             for part in self._parts(text):
-                waiting.append((number, self.pattern.findall(part)))
+                waiting.append((number, part))
                 size += len(part)
-                if size > 4 * PART:
+                if size > 8 * PART:
                     flush()
                     size = 0
         flush()
@@ -252,8 +334,8 @@ def _lists(data: Sequence[bytes]) -> pa.Array:
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     encoder = kept_by_worker(("byte-bpe", path, pattern), lambda: Encoder(path, pattern))
     for batch in batches:
-        for low in range(0, batch.num_rows, 256):
-            rows = batch.slice(low, 256)
+        for low in range(0, batch.num_rows, 1024):
+            rows = batch.slice(low, 1024)
             texts = [(text or b"").decode("utf-8", "replace") for text in binary(rows.column(1))]
             yield pa.RecordBatch.from_arrays([rows.column(0), _lists(encoder.encode(texts))], ["doc_id", "ids"])
 

@@ -51,7 +51,7 @@ def test_memory_is_bounded_and_changes_nothing(monkeypatch):
     for low in range(0, 200, 10):
         for text, ids in zip(texts[low : low + 10], own.encode(texts[low : low + 10]), strict=True):
             assert np.frombuffer(ids, "<i4").tolist() == known.encode_ordinary(text)
-        assert len(own.known) <= 50 and max(map(len, own.known)) <= byte_bpe.REMEMBERED_LENGTH
+        assert len(own.known) <= 50 + 40 and max(map(len, own.known)) <= byte_bpe.REMEMBERED_LENGTH
 
 
 @pytest.mark.parametrize("seed", range(20))
@@ -77,7 +77,9 @@ def test_any_ranks_merge_lowest_first(seed):
         return [merger.ranks[part] for part in parts]
 
     pieces = [bytes(rng.choices(b"abcd", k=rng.randint(0, 60))) for _ in range(50)]
-    assert [np.frombuffer(ids, "<i4").tolist() for ids in merger.merge(pieces)] == [by_hand(p) for p in pieces]
+    want = [by_hand(piece) for piece in pieces]
+    for wide in (1, 3, 1 << 30):
+        assert [np.frombuffer(ids, "<i4").tolist() for ids in merger._merge(pieces, wide)] == want
 
 
 def test_queue_gives_the_lowest_rank():
@@ -128,3 +130,12 @@ def test_odd_rows(spark):
     )
     assert [bytes(r.decoded).decode() for r in rows if r.doc_id is None] == [t for i, t in TEXTS if i is None]
     assert byte_bpe.decode(byte_bpe.encode(empty(spark))).collect() == []
+
+
+@pytest.mark.parametrize("wide", [1, 2, 1 << 30])
+def test_wide_buckets_are_merged_alike(wide):
+    merger = byte_bpe.Merger(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    known, rng = library("byte_bpe_50k.tiktoken"), random.Random(6)
+    pieces = [("x" + "".join(rng.choices("aethers", k=rng.randint(0, 40)))) for _ in range(800)] + ["a" * n for n in range(1, 60)]
+    ids = merger._merge([piece.encode() for piece in pieces], wide)
+    assert [np.frombuffer(own, "<i4").tolist() for own in ids] == [known.encode_ordinary(piece) for piece in pieces]
