@@ -42,7 +42,7 @@ def _grams(data: np.ndarray, order: int) -> np.ndarray:
     codes = np.zeros(len(data), np.int64)
     for back in range(order, -1, -1):
         codes <<= 8
-        codes[back:] |= data[: len(data) - back]
+        codes[back:] |= data[: max(0, len(data) - back)]
     return codes
 
 

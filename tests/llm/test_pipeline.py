@@ -77,3 +77,23 @@ def test_stages_take_empty_and_odd_tables(spark):
             assert out.columns == docs.columns
             assert 2 in {r.doc_id for r in out.collect()}
         assert stage(spark, docs.limit(0), SF).collect() == []
+
+
+def test_stages_decide_by_row(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    text = "Plain words of a text that stands here for itself, number {} of a few."
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+
+    def kept(stage, *rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema).repartition(3)
+        return sorted(((r.doc_id, r.text) for r in stage(spark, docs, SF).collect()), key=str)
+
+    stages = dict(corpus_pipeline.STAGES)
+    a, b = text.format("one"), " ".join(f"other{n}" for n in range(40))
+    # One id, two texts: 5 loses against 9 for one of them only. Copies without an id, and rows repeated whole, leave one.
+    assert kept(stages["exact_dedup"], (5, a), (9, a), (5, b)) == [(5, b), (9, a)]
+    assert kept(stages["exact_dedup"], (None, a), (None, a), (3, b), (3, b), (None, b)) == [(3, b), (None, a)]
+    assert kept(stages["simhash_dedup"], (5, a), (2, a), (5, b), (None, a)) == [(2, a), (5, b)]
+    assert kept(stages["simhash_dedup"], (None, a), (None, a)) == [(None, a)]
+    assert kept(stages["decontamination"], (5, benchmark), (5, a), (None, benchmark), (None, b)) == [(5, a), (None, b)]
+    assert kept(stages["language_id"], (5, a), (5, "..."), (None, "123"), (None, a), (6, None)) == [(5, a), (None, a)]
