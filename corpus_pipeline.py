@@ -1,43 +1,68 @@
 """From raw documents to packed token sequences, in five stages.
 
 Each stage reads what its predecessor kept, written as Parquet, and all but the last
-return the columns of ``documents``. Rows are compared and kept as whole documents.
+return the columns of ``documents``. Decisions are about rows: of two rows with one id and different texts
+each stands for itself, and rows without an id are judged like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.llm import decontamination, exact_dedup, language_id, packing, simhash_dedup
 from leaksieve.llm.common import saved, table
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose ids are not in ``gone``; rows without an id stay."""
-    return docs.join(gone.select("doc_id").where("doc_id IS NOT NULL"), "doc_id", "left_anti").select(*docs.columns)
+#: A document's best language has to be at least so likely.
+MIN_SCORE = 0.5
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written, so that a decision is about a row whatever its id and its copies."""
+    return saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose numbers are not in ``gone.doc_id``, without their numbers."""
+    return rows.join(gone.select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+
+
+def _all_but_one(rows: DataFrame, found: DataFrame, group: str, first: Column) -> DataFrame:
+    """The rows of ``found`` that are not the greatest of their group by ``first``; equal ones go by row."""
+    named = found.join(rows.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+    best = named.groupBy(group).agg(F.max(F.struct(first, "doc_id")).getField("doc_id").alias("best"))
+    return found.select("doc_id").join(best.select(F.col("best").alias("doc_id")), "doc_id", "left_anti")
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null texts and those without a letter."""
-    teachers = docs.where(~F.coalesce(language_id.held_out(), F.lit(True)))
-    return _without(docs, language_id.identify(docs, teachers).where("lang_pred = 'und'"))
+    """Drops documents in no language: null texts, those without a letter, and those whose best language is less likely
+    than all others together."""
+    rows = _numbered(docs)
+    teachers = rows.where(~F.coalesce(language_id.held_out(), F.lit(True)))
+    found = language_id.identify(rows, teachers, id_col="_row")
+    return _without(rows, found.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SCORE)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the document with the largest id."""
-    return _without(docs, exact_dedup.exact_dedup(docs, exact_dedup.half()).where("NOT kept"))
+    """Keeps of equal texts the document with the largest id, one without an id if none has any."""
+    rows = _numbered(docs)
+    found = saved(exact_dedup.exact_dedup(rows, exact_dedup.half("_row"), id_col="_row"), "copies")
+    return _without(rows, _all_but_one(rows, found.where("group_size > 1"), "text_sha256", F.col("id")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each near-duplicate group the document with the smallest id."""
-    found = simhash_dedup.simhash_components(docs)
-    return _without(docs, found.where("doc_id <> component_id"))
+    """Keeps of each near-duplicate group the document with the smallest id, one without an id if none has any."""
+    rows = _numbered(docs)
+    found = saved(simhash_dedup.simhash_components(rows, id_col="_row"), "components")
+    return _without(rows, _all_but_one(rows, found, "component_id", (-F.col("id")).alias("id")))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, whole or nearly so."""
-    return _without(docs, decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")))
+    rows = _numbered(docs)
+    found = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return _without(rows, found.select("doc_id").distinct())
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
