@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leaksieve.functions.text import normalized_hash, similarity
+from leaksieve.functions.text import bag_ratio, normalized_hash, similarity
 from leaksieve.operators.skew import ROWS_PER_TASK, join_hot
 
 SIMILARITY_THRESHOLD = 0.85
@@ -51,11 +51,13 @@ def duplicate_pairs(
 
     First by the place of its type in ``type_order``, then by (type, file, line,
     snippet, md5 of the match); the two may be of different types.  Identical
-    records are left out, and pairs whose snippets are less alike than ``threshold``.  The findings are read twice, so
-    pass a stored table rather than a scan.
+    records are left out, and pairs whose matches are less alike than ``threshold``: the whole ones where the findings
+    hold a ``match`` (``scan(..., whole=True)``), else their snippets.  Pairs whose letters alone are
+    too different never reach the exact ratio.  The findings are read twice, so pass a stored table rather than a scan.
     """
     by = _fields(findings)
-    fields = [*_FIELDS, *(c for c in ("severity", *by[len(_FIELDS) :]) if c in findings.columns)]
+    fields = [*_FIELDS, *(c for c in ("severity", *by[len(_FIELDS) :], "match") if c in findings.columns)]
+    compared = "match" if "match" in fields else "snippet"
     keyed = findings.select(*fields, _key(findings).alias("_hash"))
     order = F.struct(_place(F.col("type"), type_order), *by)
     firsts = keyed.groupBy("_hash").agg(
@@ -64,9 +66,10 @@ def duplicate_pairs(
     firsts = firsts.where(F.col("n") > 1)
     current = keyed.select("_hash", F.struct(*fields).alias("current"))
     pairs = join_hot(current, firsts.drop("n"), "_hash", firsts.select("_hash", "n"), rows_per_task)
-    alike = similarity(F.col("current.snippet"), F.col("first.snippet"))
+    texts = F.col(f"current.{compared}"), F.col(f"first.{compared}")
+    alike = similarity(*texts)
     return (
-        pairs.where(F.col("current") != F.col("first"))
+        pairs.where((F.col("current") != F.col("first")) & (bag_ratio(*texts) >= threshold))
         .select("current", "first", alike.alias("similarity"))
         .where(F.col("similarity") >= threshold)
     )

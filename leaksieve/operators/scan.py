@@ -50,6 +50,7 @@ def scan(
     keep: Sequence[str] = (),
     domains: Iterable[str] = (),
     mark_scanned: bool = False,
+    whole: bool = False,
 ) -> DataFrame:
     """Findings of every rule in every text: ``file`` and the columns of ``FOUND``.
 
@@ -62,6 +63,7 @@ def scan(
     result through ``distinct_findings``.  ``keep`` names further corpus columns
     to carry.  ``domains`` adds the custom-domain rule.  ``mark_scanned`` adds one
     row of nulls per text, so that texts without findings are told from unseen ones.
+    ``whole`` adds the uncut match as ``match``.
     """
     domain_rule = custom_domain_rule(domains)
     rules = [*rules, domain_rule] if domain_rule else list(rules)
@@ -77,9 +79,9 @@ def scan(
     regexes = " ".join(f"WHEN {n} THEN {_marked(rule.java)}" for n, rule in plain)
     ways = [f"WHEN rule = {len(rules) + _MARK} THEN array(CAST(NULL AS STRING))"]
     if len(plain) < len(rules):
-        ways.append(f"WHEN rule = {len(rules) + _KEYWORDS} THEN {_once(_keyword_findings(rules))}")
+        ways.append(f"WHEN rule = {len(rules) + _KEYWORDS} THEN {_once(_keyword_findings(rules, whole))}")
     if plain:
-        by_regex = f"transform(array(CASE rule {regexes} END), marked -> {_once(_located('marked', 'rule'))})"
+        by_regex = f"transform(array(CASE rule {regexes} END), marked -> {_once(_located('marked', 'rule', whole))})"
         ways.append(f"ELSE element_at({by_regex}, 1)")
     found = f"explode(flatten(transform({_RULES}, rule -> CASE {' '.join(ways)} END))) AS _finding"
 
@@ -87,7 +89,7 @@ def scan(
         # The place is null in the mark of a scanned text.
         return F.expr(f"element_at(array({', '.join(map(literal, values))}, NULL), {_RULE})")
 
-    rows = framed.selectExpr("file", *keep, found).select("file", *keep, *_unpacked("_finding"))
+    rows = framed.selectExpr("file", *keep, found).select("file", *keep, *_unpacked("_finding", whole))
     return rows.select(
         "file",
         *keep,
@@ -98,6 +100,7 @@ def scan(
         "match_offset",
         "match_md5",
         "match_key",
+        *(["match"] if whole else []),
     )
 
 
@@ -107,21 +110,23 @@ def _check_literals(corpus: DataFrame) -> None:
         raise ValueError("the scan needs spark.sql.parser.escapedStringLiterals=false")
 
 
-def _packed(rule: str, line: str, match: str, offset: str) -> str:
+def _packed(rule: str, line: str, match: str, offset: str, whole: bool) -> str:
     """SQL for one finding as one string, fields as wide as ``_WIDTHS`` says."""
+    shown = match if whole else f"substring({match}, 1, {SNIPPET_LENGTH})"
     return f"""concat(
         lpad({rule}, 5, '0'), lpad({line}, 10, '0'), md5(CAST({match} AS BINARY)), lpad({offset}, 10, '0'),
-        md5(CAST({normalized_sql(match)} AS BINARY)), substring({match}, 1, {SNIPPET_LENGTH})
+        md5(CAST({normalized_sql(match)} AS BINARY)), {shown}
     )"""
 
 
-def _unpacked(finding: str) -> list[Column]:
+def _unpacked(finding: str, whole: bool = False) -> list[Column]:
     fields, at = [], 1
     for name, width in _WIDTHS.items():
         field = F.substring(finding, at, width)
         fields.append((field if width == 32 else field.cast("int")).alias(name))
         at += width
-    return [*fields, F.expr(f"substring({finding}, {at})").alias("snippet")]
+    rest = F.expr(f"substring({finding}, {at})")
+    return [*fields, F.substring(rest, 1, SNIPPET_LENGTH).alias("snippet"), *([rest.alias("match")] if whole else [])]
 
 
 def _once(findings: str) -> str:
@@ -236,7 +241,7 @@ def _words_before_equals(text: str) -> str:
     return f"regexp_extract_all({text}, {literal(_WORD_BEFORE_EQUALS)}, 1)"
 
 
-def _keyword_findings(rules: Sequence[Rule]) -> str:
+def _keyword_findings(rules: Sequence[Rule], whole: bool) -> str:
     """SQL for the packed findings of all ``keyword=value`` rules of one text.
 
     Such a match never leaves a run of non-blank characters, and a run holds at
@@ -281,7 +286,7 @@ def _keyword_findings(rules: Sequence[Rule]) -> str:
                 )),
                 rule -> transform(
                     filter(array(regexp_extract(run.run, element_at(array({patterns}), rule), 0)), m -> m <> ''),
-                    match -> {_packed('rule', 'run.n', 'match', start)}
+                    match -> {_packed('rule', 'run.n', 'match', start, whole)}
                 )
             ))
         ))
@@ -305,7 +310,7 @@ def _marked(regex: str) -> str:
     return f"regexp_replace({_TEXT}, {literal(regex)}, concat(_open, '$0', _close))"
 
 
-def _located(marked: str, rule: str) -> str:
+def _located(marked: str, rule: str, whole: bool = False) -> str:
     """SQL for the packed matches of a marked text.
 
     Cutting at the opening markers gives the matches and, summed up, their places;
@@ -318,7 +323,7 @@ def _located(marked: str, rule: str) -> str:
     ends = _running_sums("transform(pieces, (piece, i) -> length(piece) - CASE WHEN i = 0 THEN 0 ELSE length(_close) END)")
     # Every match starts where the piece before it ends.
     places = f"zip_with({lines}, slice({ends}, 1, size(pieces) - 1), (n, start) -> named_struct('n', n, 'start', start))"
-    packed = f"transform(array(split_part(piece, _close, 1)), match -> {_packed(rule, 'place.n', 'match', 'place.start')})"
+    packed = f"transform(array(split_part(piece, _close, 1)), match -> {_packed(rule, 'place.n', 'match', 'place.start', whole)})"
     zipped = f"zip_with(slice(pieces, 2, size(pieces)), {places}, (piece, place) -> {packed})"
     return f"""CASE WHEN contains({marked}, _open) THEN flatten(transform(array(split({marked}, _open, -1)), pieces ->
         flatten({zipped}))) ELSE CAST(array() AS ARRAY<STRING>) END"""

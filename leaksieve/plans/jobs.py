@@ -55,9 +55,11 @@ def _saved(found: DataFrame, processed: DataFrame, out: str) -> Run:
     return Run(raw, clean, run_stats(processed, raw, clean))
 
 
-def clean_up_run(spark: SparkSession, raw_path: str, clean_path: str, *, one_array: bool = False) -> None:
+def clean_up_run(
+    spark: SparkSession, raw_path: str, clean_path: str, *, one_array: bool = False, indent: int | None = None
+) -> None:
     """Clean up saved findings by themselves."""
-    write_findings(clean_duplicates(read_findings(spark, raw_path, one_array=one_array)), clean_path)
+    write_findings(clean_duplicates(read_findings(spark, raw_path, one_array=one_array, indent=indent)), clean_path)
 
 
 def web_run(

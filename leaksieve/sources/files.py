@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leaksieve.functions.text import content_hash, decode_utf8_lossy, unescape
 from leaksieve.rules.model import quote
+from leaksieve.sources import tree
 
 # The suffixes that are scanned, and folder names that never are.
 SUFFIXES = (
@@ -53,21 +52,26 @@ def scan_files(
     suffixes: Sequence[str] = SUFFIXES,
     excluded: Sequence[str] = EXCLUDED_FOLDERS,
     max_bytes: int | None = None,
-    hidden: bool = False,
+    hidden: bool = True,
     decode_escapes: bool = False,
+    opener: tree.Opener = tree.open_path,
 ) -> DataFrame:
     """Texts of a directory tree, or of one file (any suffix, named ``.``).
 
-    Suffixes are applied while listing and sizes before reading.  Spark's reader
-    passes over names that begin with ``_`` or ``.``; ``hidden=True`` lists the
-    tree on the driver and reads the files in tasks, for mounted file systems.
+    The tree is listed and read in tasks, every name of it. ``unread_files`` gives what is missing here. ``hidden=False`` leaves the
+    listing to Spark's reader, which passes over names that begin with ``_`` or ``.``; object stores that
+    only Hadoop knows are read that way.
     """
     if hidden:
-        found = _read_listed(spark, path, suffixes, excluded, max_bytes)
-    else:
-        found = _read_tree(spark, path, suffixes, excluded, max_bytes)
+        listing = tree.list_tree(spark, path, suffixes=suffixes, excluded=excluded, opener=opener)
+        return texts_of(tree.read_listed(listing, path, max_bytes=max_bytes, opener=opener), decode_escapes)
+    return texts_of(_read_tree(spark, path, suffixes, excluded, max_bytes), decode_escapes)
+
+
+def texts_of(files: DataFrame, decode_escapes: bool = False) -> DataFrame:
+    """The corpus of ``(file, content)`` rows; files without content are no part of it."""
     text = decode_utf8_lossy(F.col("content"))
-    corpus = found.select(
+    corpus = files.where("content IS NOT NULL").select(
         "file",
         (unescape(text) if decode_escapes else text).alias("text"),
         content_hash(F.col("content")).alias("content_md5"),
@@ -75,6 +79,21 @@ def scan_files(
     return corpus.where(F.length("text") > 0)
 
 
+def unread_files(
+    spark: SparkSession,
+    path: str,
+    *,
+    suffixes: Sequence[str] = SUFFIXES,
+    excluded: Sequence[str] = EXCLUDED_FOLDERS,
+    max_bytes: int | None = None,
+    opener: tree.Opener = tree.open_path,
+) -> DataFrame:
+    """``(file, size, error)`` of what ``scan_files`` would have scanned but could not read, or was told not to."""
+    listing = tree.list_tree(spark, path, suffixes=suffixes, excluded=excluded, opener=opener)
+    read = tree.read_listed(listing, path, max_bytes=max_bytes, opener=opener)
+    return read.where("error IS NOT NULL").select("file", "size", "error")
+
+
 def _read_tree(spark, path, suffixes, excluded, max_bytes) -> DataFrame:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -89,37 +108,3 @@ def _read_tree(spark, path, suffixes, excluded, max_bytes) -> DataFrame:
     if not single:
         kept = kept & has_suffix(F.col("path"), suffixes)
     return files.where(kept).select(below.alias("file"), "content")
-
-
-def _read_listed(spark, path, suffixes, excluded, max_bytes) -> DataFrame:
-    base = os.path.realpath(path)
-    listed = spark.createDataFrame(
-        [(p,) for p in _list_files(base, suffixes, excluded)], "path string"
-    ).repartition(spark.sparkContext.defaultParallelism)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for one in batch["path"]:
-                try:
-                    if max_bytes is not None and os.stat(one).st_size > max_bytes:
-                        continue
-                    with open(one, "rb") as handle:
-                        yield pd.DataFrame({"path": [one], "content": [handle.read()]})
-                except OSError:
-                    continue
-
-    files = listed.mapInPandas(read, "path string, content binary")
-    return files.select(relative_to(F.col("path"), base).alias("file"), "content")
-
-
-def _list_files(base: str, suffixes: Sequence[str], excluded: Sequence[str]) -> Iterable[str]:
-    if any(part in excluded for part in base.split("/")):
-        return
-    if os.path.isfile(base):
-        yield base
-    for folder, folders, names in os.walk(base):
-        folders[:] = [name for name in folders if name not in excluded]
-        for name in names:
-            dot = name.rfind(".")
-            if dot > 0 and name[dot:] in suffixes:
-                yield os.path.join(folder, name)

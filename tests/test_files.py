@@ -58,21 +58,21 @@ def test_reader_scan_passes_over_hidden_names(spark, tmp_path):
         path = tmp_path / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(content)
-    corpus = files.scan_files(spark, str(tmp_path))
+    corpus = files.scan_files(spark, str(tmp_path), hidden=False)
     assert names(corpus) == ["a.py", "big.log", "build/a.py", "deep/er/readme.md", "x.env"]
-    assert names(files.scan_files(spark, str(tmp_path), max_bytes=99)) == ["a.py", "build/a.py", "deep/er/readme.md", "x.env"]
-    plan = files.scan_files(spark, str(tmp_path), max_bytes=1 << 20)._jdf.queryExecution().executedPlan().toString()
+    assert names(files.scan_files(spark, str(tmp_path), hidden=False, max_bytes=99)) == ["a.py", "build/a.py", "deep/er/readme.md", "x.env"]
+    plan = files.scan_files(spark, str(tmp_path), hidden=False, max_bytes=1 << 20)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length" in plan
-    decoded = files.scan_files(spark, str(tmp_path), decode_escapes=True)
+    decoded = files.scan_files(spark, str(tmp_path), hidden=False, decode_escapes=True)
     assert decoded.where("file = 'deep/er/readme.md'").first().text == "x\ny"
     assert decoded.where("file = 'build/a.py'").first().text.endswith(" A")
-    assert names(files.scan_files(spark, str(tmp_path), suffixes=[".PY"])) == ["B.PY"]
+    assert names(files.scan_files(spark, str(tmp_path), hidden=False, suffixes=[".PY"])) == ["B.PY"]
 
 
 def test_single_file_is_scanned_whatever_its_suffix(spark, tree, tmp_path):
     assert names(files.scan_files(spark, str(tree / "notes.xyz"), hidden=True)) == ["."]
     (tmp_path / "notes.xyz").write_bytes(b"AB123CD77")
-    corpus = files.scan_files(spark, str(tmp_path / "notes.xyz"))
+    corpus = files.scan_files(spark, str(tmp_path / "notes.xyz"), hidden=False)
     assert [f.file for f in scan(corpus, standard_rules()).collect()] == ["."]
 
 
