@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import lru_cache, partial
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,12 @@ from leaksieve.functions import text as text_functions
 from leaksieve.functions import urls
 from leaksieve.functions.severity import severity_column
 from leaksieve.operators import crawl, dedupe, incremental, links, report, web
+from leaksieve.operators.domains import scan_domain_table
 from leaksieve.operators.scan import distinct_findings, scan, search, union_findings
 from leaksieve.rules.catalogue import FAMILIES, extended_rules, family_rules, standard_rules
 from leaksieve.rules.model import Rule, custom_domain_rule, user_rules
 from leaksieve.session import ensure_checkpoint_dir
-from leaksieve.sources import files, lists
+from leaksieve.sources import files, findings, lists, tree
 from leaksieve.sources.sizing import spread
 from leaksieve.sources.tables import corpus_from, pages_corpus
 from leaksieve.streaming.scans import scan_stream
@@ -192,8 +194,8 @@ def _stored_first_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, when those of one language were scanned before."""
     stored = _stored_first_batch(spark, sf_dir)
-    findings, _ = incremental.incremental_scan(documents(spark, sf_dir), standard_rules(), stored)
-    return findings
+    found, _ = incremental.incremental_scan(documents(spark, sf_dir), standard_rules(), stored)
+    return found
 
 
 def _newly_scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,8 +222,6 @@ def _stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, found: DataFrame) -> DataFrame:
-    from uuid import uuid4
-
     out = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
     query = (
         found.writeStream.format("parquet")
@@ -423,17 +423,22 @@ def _pairs(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
     return dedupe.duplicate_pairs(_stored_findings(spark, sf_dir), type_order=order, threshold=threshold)
 
 
-# Every finding once more with so many marks behind its first character.
+# Every finding once more with so many marks behind its first character, behind character 105 of a long one.
 _MARKS = (0, 3, 12)
+_MARK_PLACE = "CASE WHEN length(match) > 110 THEN 105 ELSE 1 END"
 
 
 def _marked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of findings that punctuation tells apart, on both sides of the threshold."""
+    """Pairs of findings that punctuation tells apart, on both sides of the threshold; of some the snippets are equal."""
+    ensure_checkpoint_dir(spark)
+    both = salted(spark, sf_dir, LONG_LINES).unionByName(pages(spark, sf_dir))
+    found = scan(both, standard_rules(), whole=True).checkpoint()
     copies = F.explode(F.array(*map(F.lit, _MARKS))).alias("k")
-    snippet = F.concat(F.left("snippet", F.lit(1)), F.repeat(F.lit("!"), F.col("k")), F.expr("substring(snippet, 2)"))
-    marked = _stored_findings(spark, sf_dir).select("*", copies).select(
-        "type", F.concat_ws("#", "file", "k").alias("file"), "line", snippet.alias("snippet"), "severity"
+    match = F.expr(f"concat(left(match, {_MARK_PLACE}), repeat('!', k), substring(match, 1 + {_MARK_PLACE}))")
+    marked = found.select("*", copies).select(
+        "type", F.concat_ws("#", "file", "k").alias("file"), "line", match.alias("match"), "severity", "match_key"
     )
+    marked = marked.withColumn("snippet", F.left("match", F.lit(100))).withColumn("match_md5", F.md5(F.col("match").cast("binary")))
     return dedupe.duplicate_pairs(marked, type_order=[rule.name for rule in standard_rules()])
 
 
@@ -441,16 +446,18 @@ def _marked_pairs_sql() -> str:
     """Of two texts that differ in one run of marks, the matching blocks are all but the longer run's surplus."""
     place = " ".join(f"WHEN {quoted(r.name)} THEN {n}" for n, r in enumerate(standard_rules()))
     marks = ", ".join(map(str, _MARKS))
+    corpus = f"{salted_sql(LONG_LINES)} UNION ALL {sql.PAGES}"
     return f"""
         WITH f AS (
-            SELECT type, file || '#' || k AS file, line, snippet[1] || repeat('!', k) || substr(snippet, 2) AS snippet,
-                k, length(snippet) AS n, md5({sql.normalized("snippet")}) AS h
-            FROM ({_findings_sql()}), (SELECT unnest([{marks}]) AS k)
+            SELECT *, substr(marked, 1, 100) AS snippet, md5(marked) AS marked_md5 FROM (
+                SELECT type, file || '#' || k AS file, line, k, length(match) AS n, match_key AS h,
+                    substr(match, 1, {_MARK_PLACE}) || repeat('!', k) || substr(match, 1 + {_MARK_PLACE}) AS marked
+                FROM ({sql.scan(corpus, standard_rules(), whole=True)}), (SELECT unnest([{marks}]) AS k))
         ), star AS (
             SELECT *, row_number() OVER w AS place, first_value(type) OVER w AS first_type,
                 first_value(file) OVER w AS first_file, first_value(line) OVER w AS first_line,
                 first_value(snippet) OVER w AS first_snippet, first_value(k) OVER w AS first_k
-            FROM f WINDOW w AS (PARTITION BY h ORDER BY CASE type {place} END, type, file, line, snippet)
+            FROM f WINDOW w AS (PARTITION BY h ORDER BY CASE type {place} END, type, file, line, snippet, marked_md5)
         )
         SELECT * FROM (
             SELECT type, file, line, snippet, first_type, first_file, first_line, first_snippet,
@@ -477,6 +484,122 @@ def _equal_pairs_sql() -> str:
     """
 
 
+# ------------------------------------------------- files and findings at rest
+
+
+def _tree_file(doc_id: str) -> str:
+    """SQL of both engines for a file's place in the tree: hidden, underscored and excluded names, and other suffixes."""
+    name = f"CASE CAST({doc_id} % 5 AS INT) WHEN 0 THEN '_x' WHEN 1 THEN '.cfg' ELSE 'n' END"
+    folder = f"CASE CAST({doc_id} % 7 AS INT) WHEN 0 THEN '.hid' WHEN 1 THEN '_in' WHEN 2 THEN 'venv' ELSE 'deep/er' END"
+    ending = f"CASE CAST({doc_id} % 3 AS INT) WHEN 0 THEN '.py' WHEN 1 THEN '.json' ELSE '.xyz' END"
+    return f"concat({folder}, '/f', CAST({doc_id} % 11 AS INT), '/', {name}, {doc_id}, {ending})"
+
+
+_IN_TREE = "doc_id % 7 <> 2 AND doc_id % 3 <> 2"
+_DANGLING = "doc_id % 17 = 3"
+
+
+def _written_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as files of a tree in the folder that all executors share; of some only a link without an end."""
+    base = f"{ensure_checkpoint_dir(spark).removeprefix('file:').rstrip('/')}/repo-{uuid4().hex}"
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+
+        for batch in batches:
+            for path, text, dangling in zip(batch["path"], batch["text"], batch["dangling"], strict=True):
+                os.makedirs(os.path.dirname(f"{base}/{path}"), exist_ok=True)
+                if dangling:
+                    if not os.path.lexists(f"{base}/{path}"):
+                        os.symlink("nowhere", f"{base}/{path}")
+                else:
+                    with open(f"{base}/{path}", "wb") as handle:
+                        handle.write(text.encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    source = spread(table(spark, sf_dir, "documents").selectExpr(f"{_tree_file('doc_id')} AS path", "text", f"{_DANGLING} AS dangling"))
+    source.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return base
+
+
+def _scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(files.scan_files(spark, _written_tree(spark, sf_dir)), standard_rules())
+
+
+def _unread_in_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.unread_files(spark, _written_tree(spark, sf_dir), max_bytes=MAX_TEXT_BYTES)
+
+
+_TREE_FILES = f"SELECT {_tree_file('doc_id')} AS file, text, {_DANGLING} AS dangling FROM documents WHERE {_IN_TREE}"
+_UNREAD_SQL = f"""
+    SELECT file, CASE WHEN dangling THEN NULL ELSE strlen(text) END AS size,
+        CASE WHEN dangling THEN 'FileNotFoundError' ELSE '{tree.TOO_LARGE}' END AS error
+    FROM ({_TREE_FILES}) WHERE dangling OR strlen(text) > {MAX_TEXT_BYTES}
+"""
+
+
+def _scan_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark items as the lines of one file."""
+    out = f"{ensure_checkpoint_dir(spark)}/single-{uuid4().hex}"
+    lines = F.concat("text", filled(FAMILY_SAMPLES["contact"].values(), F.col("item_id"))).alias("value")
+    table(spark, sf_dir, "benchmark").select("item_id", lines).orderBy("item_id").select("value").coalesce(1).write.text(out)
+    (part,) = [r.path for r in spark.read.format("binaryFile").load(f"{out}/part-*").select("path").collect()]
+    return scan(files.scan_files(spark, part), standard_rules())
+
+
+_SINGLE_FILE = f"""
+    SELECT '.' AS file, string_agg(text || {filled_sql(FAMILY_SAMPLES["contact"].values(), "item_id")} || chr(10), '' ORDER BY item_id)
+        AS text FROM benchmark
+"""
+
+
+def _findings_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages as two runs; that of the pages is saved twice, first with the documents' findings."""
+    out = f"{ensure_checkpoint_dir(spark)}/runs-{uuid4().hex}"
+    of_documents = scan(documents(spark, sf_dir), standard_rules())
+    findings.write_run(of_documents, out, "documents")
+    findings.write_run(of_documents, out, "pages")
+    findings.write_run(scan(pages(spark, sf_dir), standard_rules()), out, "pages")
+    return findings.read_runs(spark, out).drop("hash")
+
+
+def _findings_by_run_sql() -> str:
+    one = "SELECT *, '{}' AS run FROM ({})"
+    return " UNION ALL ".join(
+        one.format(run, sql.scan(corpus, standard_rules())) for run, corpus in (("documents", sql.DOCUMENTS), ("pages", sql.PAGES))
+    )
+
+
+def _findings_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings saved as arrays with indents, an array a task, and read back a record at a time."""
+    out = f"{ensure_checkpoint_dir(spark)}/arrays-{uuid4().hex}"
+
+    def arrays(batches):
+        import pandas as pd
+
+        lead = "["
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"value": [lead, ",\n".join(batch["value"])]})
+                lead = ","
+        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+
+    found = _findings(spark, sf_dir)
+    records = found.select(F.to_json(F.struct(*found.columns), {"pretty": "true"}).alias("value"))
+    records.mapInPandas(arrays, "value string").write.text(out)
+    return findings.read_findings(spark, out, one_array=True, indent=0).drop("hash")
+
+
+def _scan_domain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domains as rows of a table rather than parts of a rule."""
+    source = table(spark, sf_dir, "pages")
+    corpus = spread(corpus_from(source, "page_id", F.concat_ws("\n", "url", "html")))
+    listed = spark.createDataFrame([(name, n) for n, name in enumerate(DOMAINS)], "domain string, place int")
+    return scan_domain_table(corpus, listed, order="place")
+
+
 # --------------------------------------------------------- links and crawl
 
 
@@ -674,6 +797,12 @@ def build() -> dict[str, tuple[Query, str | None]]:
             sql.clean(sql.scan(salted_sql(LONG_LINES), std())),
         ),
         "scan_custom_domains": (_scan_domains, _scan_domains_sql()),
+        "scan_domain_table": (_scan_domain_rows, _scan_domains_sql()),
+        "scan_tree": (_scan_tree, sql.scan(f"SELECT file, text FROM ({_TREE_FILES}) WHERE NOT dangling", std())),
+        "unread_files": (_unread_in_tree, _UNREAD_SQL),
+        "scan_single_file": (_scan_single_file, sql.scan(_SINGLE_FILE, std())),
+        "findings_by_run": (_findings_by_run, _findings_by_run_sql()),
+        "findings_array": (_findings_array, _findings_sql()),
         "scan_unescaped": (_scan_unescaped, _scan_unescaped_sql()),
         "scan_stream": (_stream_scan, sql.scan(sql.DOCUMENTS, std())),
         "literal_search": (

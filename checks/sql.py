@@ -41,8 +41,8 @@ _HASHES = f"md5(match) AS match_md5, md5({normalized('match')}) AS match_key"
 _LINE = "CAST(1 + length(before) - length(replace(before, chr(10), '')) AS INTEGER)"
 
 
-def scan(corpus: str, rules: Sequence[Rule]) -> str:
-    """Findings of ``rules`` in the ``(file, text)`` rows of ``corpus``."""
+def scan(corpus: str, rules: Sequence[Rule], whole: bool = False) -> str:
+    """Findings of ``rules`` in the ``(file, text)`` rows of ``corpus``, with the uncut ``match`` if asked for."""
     per_rule = " UNION ALL ".join(
         f"SELECT file, {quoted(r.name)} AS type, {quoted(r.severity)} AS severity, {_cut(pattern(r))} AS seg "
         f"FROM corpus WHERE regexp_matches(text, {pattern(r)})"
@@ -50,7 +50,7 @@ def scan(corpus: str, rules: Sequence[Rule]) -> str:
     )
     return f"""
         SELECT file, type, line, substr(match, 1, 100) AS snippet, severity,
-               min(match_offset) AS match_offset, {_HASHES}
+               min(match_offset) AS match_offset, {_HASHES}{", match" if whole else ""}
         FROM (SELECT *, {_LINE} AS line, {_OFFSET} AS match_offset FROM (
             WITH corpus AS MATERIALIZED ({corpus}) {_rows(per_rule, "file, type, severity")}
         )) GROUP BY file, type, line, match, severity
