@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ PRIOR, PRIOR_KIND, PRIOR_EDGE = 0.1, 0.5, 0.01
 # HTML elements by what they are.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title template noscript iframe svg math canvas object".split())
+FOREIGN = {"svg", "math"}  # may close themselves and hold their like
 BOILER_TAGS = set("nav header footer aside form menu dialog button select fieldset head".split())
 BLOCKS = set(
     "html body head article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
@@ -60,8 +62,14 @@ CLOSES = {  # an open element on the left ends when one on the right begins
     "option": {"option"},
     "head": {"body", "article", "main", "section", "div", "p", "nav", "header", "h1", "h2"},
 }
+#: An element that begins is looked for no further out than these.
+BORDERS = {"article", "section", "div", "body", "td", "th", "table"}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
+#: Elements that decide where an open one ends; all others are passed over when looking for it.
+_DECIDING = BORDERS | CLOSES.keys() | set().union(*HOLDS.values())
+_CLOSING = set().union(*CLOSES.values())
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|"
     r"<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?",
@@ -96,6 +104,17 @@ def name_of(attributes: str) -> str:
     return "content" if words & CONTENT_WORDS else "other" if words else "none"
 
 
+def _end_of_raw(source: str, at: int, tag: str) -> int:
+    """Where an element whose contents are no text ends: at its first end tag, at that of its own level if it can be nested."""
+    if tag not in FOREIGN:
+        return re.compile(rf"</{tag}\b[^>]*>?|\Z", re.IGNORECASE).search(source, at).end()
+    depth, edges = 1, re.compile(rf"<(/?){tag}\b[^>]*?(/?)(?:>|\Z)", re.IGNORECASE)
+    while depth and (found := edges.search(source, at)):
+        depth += -1 if found[1] else not found[2]
+        at = found.end()
+    return at if not depth else len(source)
+
+
 class Page:
     """Block elements in page order, each after its parent, and the blocks of text with their nodes."""
 
@@ -106,6 +125,10 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._pieces: list[str] = []
         self._open: list[tuple[str, int]] = [("", 0)]  # open elements with the block node they lie in
+        # How many of a tag are open, and of those that are no blocks, in each open block: what is not open is not looked for.
+        self._count: Counter = Counter()
+        self._inline: list[Counter] = [Counter()]
+        self._deciding: list[int] = []  # depths of the open elements of _DECIDING
         self._links = 0
         self._forms: set[int] = set()
         self._read(source)
@@ -130,17 +153,24 @@ class Page:
         """Closes all elements from this depth on."""
         if any(tag in BLOCKS for tag, _ in self._open[depth:]):
             self._end_block()
-        for tag, _ in self._open[depth:]:
+        for tag, _ in reversed(self._open[depth:]):
             self._links -= tag == "a"
+            self._count[tag] -= 1
+            if tag in BLOCKS:
+                self._inline.pop()
+            else:
+                self._inline[-1][tag] -= 1
         del self._open[depth:]
+        while self._deciding and self._deciding[-1] >= depth:
+            self._deciding.pop()
 
     def _begin(self, tag: str, attributes: str) -> None:
-        for depth in range(len(self._open) - 1, 0, -1):
+        for depth in reversed(self._deciding) if tag in _CLOSING else ():
             other = self._open[depth][0]
             if tag in CLOSES.get(other, ()):
                 self._close(depth)
                 break
-            if other in HOLDS.get(tag, ()) or other in ("article", "section", "div", "body", "td", "th", "table"):
+            if other in HOLDS.get(tag, ()) or other in BORDERS:
                 break
         if tag in VOID:
             if tag in BLOCKS:
@@ -169,6 +199,13 @@ class Page:
             self.linked.append(0)
             node = len(self.parent) - 1
         self._links += tag == "a"
+        self._count[tag] += 1
+        if tag in BLOCKS:
+            self._inline.append(Counter())
+        else:
+            self._inline[-1][tag] += 1
+        if tag in _DECIDING:
+            self._deciding.append(len(self._open))
         self._open.append((tag, node))
 
     def _read(self, source: str) -> None:
@@ -178,17 +215,15 @@ class Page:
             at = found.end()
             if found[1]:
                 tag = found[1].lower()
-                for depth in range(len(self._open) - 1, 0, -1):
-                    if self._open[depth][0] == tag:
-                        self._close(depth)
-                        break
-                    if tag not in BLOCKS and self._open[depth][0] in BLOCKS:
-                        break
+                # An element that is no block does not end outside of its block. All that is passed over is closed.
+                if self._count[tag] if tag in BLOCKS else self._inline[-1][tag]:
+                    self._close(next(d for d in range(len(self._open) - 1, 0, -1) if self._open[d][0] == tag))
             elif found[2]:
                 tag = found[2].lower()
+                if tag in FOREIGN and found[3].endswith("/"):
+                    continue
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}\b[^>]*>?|\Z", re.IGNORECASE).search(source, at)
-                    at = end.end()
+                    at = _end_of_raw(source, at, tag)
                     self._pieces.append(" " if self._pieces else "")
                 else:
                     self._begin(tag, found[3])

@@ -38,7 +38,7 @@ def _is(value: object, kind: str) -> bool:
     if kind == "number":
         return isinstance(value, (int, float)) and not isinstance(value, bool)
     if kind == "integer":
-        return _is(value, "number") and float(value).is_integer()
+        return _is(value, "number") and (isinstance(value, int) or value.is_integer())
     return isinstance(value, _TYPES[kind])
 
 
@@ -80,10 +80,22 @@ def _no_constant(name: str) -> object:
     raise ValueError(f"{name} is no JSON")
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError(f"{digits} is out of range")
+    return value
+
+
 def parsed(arguments: str | None, name: str | None, schemas: dict[str, Schema]) -> tuple[object, list[str]]:
-    """The arguments and what is wrong with them; those that are no JSON are returned as text."""
+    """The arguments and what is wrong with them; those that are no JSON are returned as text.
+
+    Numbers beyond a double, lone surrogates and nesting beyond what can be written back are no JSON either.
+    """
     try:
-        value = json.loads(arguments or "", parse_constant=_no_constant)
+        value = json.loads(arguments or "", parse_constant=_no_constant, parse_float=_finite)
+        canonical(value).encode()
+        schema_errors(value, {})
     except (ValueError, RecursionError):
         return arguments, ["$: not JSON"]
     return value, schema_errors(value, schemas.get(name, {"type": "object"}))
@@ -143,12 +155,14 @@ def levels(needs: DataFrame, calls: DataFrame, block: int = 50_000) -> DataFrame
     open_needs = saved(
         needs.join(_blocked(calls, block), key).select(*key, "block", "need", F.lit(None).cast("int").alias("got")), "needs"
     )
+    # Asked for, so that small rounds are not put into one task.
+    tasks = max(needs.sparkSession.sparkContext.defaultParallelism, open_needs.count() // block)
     while not last.isEmpty():
         met = last.select("conv_id", F.col("call_id").alias("need"), "level")
         rest = open_needs.join(last, key, "left_anti").join(met, ["conv_id", "need"], "left")
         got = F.coalesce("got", "level").alias("got")
         open_needs = saved(rest.select(*key, "block", "need", got), "needs")
-        last = saved(open_needs.groupBy("conv_id", "block").applyInArrow(_level_block, schema), "level")
+        last = saved(open_needs.repartition(tasks, "conv_id", "block").groupBy("conv_id", "block").applyInArrow(_level_block, schema), "level")
         done = done.unionByName(last)
     return done
 
@@ -166,14 +180,14 @@ def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, Schema]) ->
         for row in rows:
             errors: list[str] = []
             entry = {"id": row["call_id"], "status": row["status"], "level": row["level"]}
-            if row["status"] != "orphan":
+            if row["n_calls"]:
                 value, errors = parsed(row["arguments"], row["name"], schemas)
                 entry |= {"name": row["name"], "arguments": value, "needs": row["needs"] or []}
             if row["status"] != "unanswered" and row["content"] is not None:
                 entry["result"] = row["content"]
             texts.append(canonical(entry))
             all_errors.append(errors)
-        names = ["conv_id", "call_id", "position", "level", "status", "n_results"]
+        names = ["conv_id", "call_id", "position", "level", "status", "n_calls", "n_results"]
         columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
         valid = pa.array([not e for e in all_errors])
         yield pa.RecordBatch.from_arrays(
@@ -182,11 +196,32 @@ def _serialise(batches: Iterator[pa.RecordBatch], schemas: dict[str, Schema]) ->
         )
 
 
+def _nameless(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """The calls and results without an id, as rows of their own."""
+    asked = calls.where("call_id IS NULL").selectExpr(
+        "conv_id", "call_id", "CAST(position AS LONG) AS position", "CAST(NULL AS INT) AS level", "'no_id' AS status",
+        "1L AS n_calls", "0L AS n_results", "name", "arguments", "needs", "CAST(NULL AS STRING) AS content",
+    )
+    got = results.where("call_id IS NULL").selectExpr(
+        "conv_id", "call_id", "CAST(position AS LONG) AS position", "CAST(NULL AS INT) AS level", "'no_id' AS status",
+        "0L AS n_calls", "1L AS n_results", "CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS arguments",
+        "CAST(NULL AS ARRAY<STRING>) AS needs", "content",
+    )
+    return asked.unionByName(got)
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema], block: int = 50_000) -> DataFrame:
-    """A row per call and per orphaned result; ordered within a conversation by (level, position, call_id)."""
+    """A row per call and per orphaned result; ordered within a conversation by (level, position, call_id).
+
+    ``n_calls`` and ``n_results`` say how often an id was called and answered; the first of each counts. Calls and results
+    without an id can be linked to nothing: each is a row of its own with the status ``no_id``.
+    """
     key = ["conv_id", "call_id"]
+    nameless = _nameless(calls, results)
     calls = saved(
-        _first(calls.where("call_id IS NOT NULL"), ["position"], ["position", "name", "arguments", "needs"]).drop("n"), "calls"
+        _first(calls.where("call_id IS NOT NULL"), ["position"], ["position", "name", "arguments", "needs"])
+        .withColumnRenamed("n", "n_calls"),
+        "calls",
     )
     answers = _first(results.where("call_id IS NOT NULL"), ["position", "content"], ["position", "content"])
     answers = answers.select(*key, F.col("position").alias("at"), "content", F.col("n").alias("n_results"))
@@ -198,21 +233,22 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema],
         .when(F.col("n_results").isNull(), "unanswered")
         .otherwise("linked")
     )
-    linked = calls.withColumn("mine", F.lit(True)).join(depth, key, "left").join(answers, key, "full")
+    linked = calls.withColumn("mine", F.lit(True)).join(depth, key, "left").join(answers.hint("shuffle_hash"), key, "full")
     rows = linked.select(
         *key,
         F.coalesce("position", "at").cast("long").alias("position"),
         F.col("level").cast("int"),
         status.alias("status"),
+        F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
         "name",
         "arguments",
         "needs",
         "content",
-    )
+    ).unionByName(nameless)
     return rows.mapInArrow(
         lambda batches: _serialise(batches, schemas),
-        "conv_id long, call_id string, position long, level int, status string, n_results long, "
+        "conv_id long, call_id string, position long, level int, status string, n_calls long, n_results long, "
         "valid boolean, errors array<string>, json string",
     )
 
