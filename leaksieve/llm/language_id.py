@@ -210,14 +210,15 @@ def identify(
     order: int = ORDER,
     rows: int = SAMPLE_ROWS,
     size: int = SAMPLE_BYTES,
+    id_type: str = "long",
 ) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of ``docs``; the rows of ``learnt_from`` teach."""
     labelled = learnt_from.where(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
     counts = docs.sparkSession.sparkContext.broadcast(learn(labelled, order, rows, size))
-    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return columns.mapInArrow(lambda batches: _predict(batches, counts, order), "doc_id long, lang_pred string, score double")
+    columns = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return columns.mapInArrow(lambda batches: _predict(batches, counts, order), f"doc_id {id_type}, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

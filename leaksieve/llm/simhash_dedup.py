@@ -60,14 +60,16 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.R
     for batch in batches:
         prints = np.array([simhash(text, size) for text in binary(batch.column(1))], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "fp"]
+            [batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"]
         )
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, id_type: str = "long"
+) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
-    columns = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return columns.mapInArrow(lambda batches: _fingerprints(batches, size), "doc_id long, fp long")
+    columns = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return columns.mapInArrow(lambda batches: _fingerprints(batches, size), f"doc_id {id_type}, fp long")
 
 
 _EVEN = 0x5555555555555555
@@ -128,10 +130,15 @@ def near_links(prints: DataFrame, radius: int = RADIUS, groups: int = 6) -> Data
 
 
 def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = RADIUS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 3,
+    radius: int = RADIUS,
+    id_type: str = "long",
 ) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id that links lead to."""
-    rows = saved(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    rows = saved(fingerprints(docs, id_col, text_col, size, id_type), "fingerprints")
     classes = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(near_links(classes.select("fp"), radius))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
