@@ -44,7 +44,7 @@ class ChunkEncoder:
     Strings of special tokens are ordinary text; with ``special`` they get their ids, as the library's plain call gives them.
     """
 
-    def __init__(self, path: str, memory: int = 800_000, special: bool = False):
+    def __init__(self, path: str, memory: int = 250_000, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.tokenizer.encode_special_tokens = self.tokenizer.model, True
         self.memory, self.known, self.pieces = memory, {}, {}
