@@ -628,6 +628,38 @@ def _resolve_sql(source: str) -> str:
     """
 
 
+# References of every kind, seen from each page; the SQL cuts the folders of the page's path.
+_REFERENCES = ("sub/a.js", "./b.js", "../c.js", "../../../../d.js", "?v=1", "//cdn.example.org/e.js", "/f/../g.js", "#top")
+
+
+def _resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.explode(F.array(*map(F.lit, _REFERENCES)))
+    references = table(spark, sf_dir, "pages").select("page_id", "url", kinds.alias("link"))
+    return links.resolve_links(references)
+
+
+_REFERENCES_SQL = f"""
+    WITH split AS (
+        SELECT page_id, url, regexp_extract(url, '^[a-z]+:') AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]*') AS site,
+            regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+            regexp_extract(url, '^[^?#]*(\\?[^#]+)', 1) AS query
+        FROM pages
+    ), cut AS (
+        SELECT *, coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') AS folder FROM split
+    )
+    SELECT page_id, url, link, CASE link
+        WHEN 'sub/a.js' THEN site || folder || link
+        WHEN './b.js' THEN site || folder || 'b.js'
+        WHEN '../c.js' THEN site || coalesce(nullif(regexp_replace(folder, '[^/]+/$', ''), ''), '/') || 'c.js'
+        WHEN '../../../../d.js' THEN site || coalesce(nullif(regexp_replace(folder, '([^/]+/){{0,4}}$', ''), ''), '/') || 'd.js'
+        WHEN '?v=1' THEN site || path || link
+        WHEN '//cdn.example.org/e.js' THEN scheme || link
+        WHEN '/f/../g.js' THEN site || '/g.js'
+        ELSE site || path || query || link END AS target
+    FROM cut, (SELECT unnest([{", ".join(map(quoted, _REFERENCES))}]) AS link)
+"""
+
+
 def _edges_sql(source: str) -> str:
     path = r"regexp_replace(regexp_extract(target, '^[a-z]+://[^/?#]*([^?#]*)', 1), ';[^/]*$', '')"
     names = ", ".join(map(quoted, urls.FILE_NAMES))
@@ -744,6 +776,12 @@ _ROUTED = f"""
     FROM ({_RESPONSES})
     WHERE status = 200 AND (contains(content_type, 'text/html') OR content_length <= 10485760)
 """
+_SKIPPED = f"""
+    SELECT *, CASE WHEN contains(content_type, 'text/html') THEN 'page' ELSE 'file' END AS kind,
+        CASE WHEN status = 200 THEN 'size' ELSE 'status' END AS reason
+    FROM ({_RESPONSES})
+    WHERE status <> 200 OR (NOT contains(content_type, 'text/html') AND content_length > 10485760)
+"""
 _NAMED_SQL = f"""
     WITH numbered AS (
         SELECT *, row_number() OVER (PARTITION BY host ORDER BY md5(url), url) - 1 AS number,
@@ -851,6 +889,7 @@ def build() -> dict[str, tuple[Query, str | None]]:
         "findings_report": (lambda spark, sf: report.findings_report(_clean_kept(spark, sf)), _report_sql()),
         "run_stats": (_stats, _stats_sql()),
         "extract_links": (_page_links, _extract_sql(_LINKED_PAGES)),
+        "resolve_references": (_resolve_references, _REFERENCES_SQL),
         "resolve_links": (
             lambda spark, sf: links.resolve_links(_page_links(spark, sf)),
             _resolve_sql(_LINKED_PAGES),
@@ -868,6 +907,10 @@ def build() -> dict[str, tuple[Query, str | None]]:
         "crawl_reached": (_reached, _crawl_sql(MAX_DEPTH, False, "url")),
         "crawl_leaf_files": (partial(_crawl, max_depth=2, leaf_files=True), _crawl_sql(2, True)),
         "route_responses": (lambda spark, sf: web.route_responses(responses(spark, sf), max_bytes=MAX_FILE_BYTES), _ROUTED),
+        "skipped_responses": (
+            lambda spark, sf: web.skipped_responses(responses(spark, sf), max_bytes=MAX_FILE_BYTES),
+            _SKIPPED,
+        ),
         "page_file_name": (
             lambda spark, sf: web.name_files(web.route_responses(responses(spark, sf), max_bytes=MAX_FILE_BYTES)),
             _NAMED_SQL,

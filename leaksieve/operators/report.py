@@ -27,11 +27,11 @@ def by_severity(findings: DataFrame) -> DataFrame:
 def findings_report(findings: DataFrame) -> DataFrame:
     """File, line and snippet under severity and type, with the size of each heading.
 
-    The headings are broadcast: there are no more of them than rules.
+    How the headings are joined is left to Spark, which sends them only where it has measured them to be small.
     """
     headings = severity_type_counts(findings)
     rows = _graded(findings).select("severity", "type", "file", "line", "snippet")
-    return by_severity(rows.join(F.broadcast(headings), ["severity", "type"])).select(
+    return by_severity(rows.join(headings, ["severity", "type"])).select(
         "severity_rank", "severity", "type", "found", "file", "line", "snippet"
     )
 

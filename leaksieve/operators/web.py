@@ -24,17 +24,27 @@ OTHER_ENDING = ".txt"
 _STEM_AND_ENDING = r"(?s)^(\.*[^.].*?|\.+)(\.[^.]*)?\z"
 
 
+def _judged(responses: DataFrame, max_bytes: int | None) -> DataFrame:
+    """The responses with ``kind`` and, for those that are not kept, the ``reason``."""
+    is_page = F.lower(F.coalesce("content_type", F.lit(""))).contains("text/html")
+    fits = F.lit(True) if max_bytes is None else F.coalesce("content_length", F.lit(0)) <= max_bytes
+    answered = F.coalesce(F.col("status") == 200, F.lit(False))
+    reason = F.when(~answered, "status").when(~is_page & ~fits, "size")
+    return responses.withColumn("kind", F.when(is_page, "page").otherwise("file")).withColumn("reason", reason)
+
+
 def route_responses(responses: DataFrame, *, max_bytes: int | None = None) -> DataFrame:
     """Keeps status 200 and adds ``kind``: ``page`` (links are followed) or ``file``.
 
     Nothing is dropped for its size unless ``max_bytes`` is given: then files above it by their content
-    length go; an unknown length passes, and pages are not checked.
+    length go; an unknown length passes, and pages are not checked. ``skipped_responses`` gives the others.
     """
-    is_page = F.lower(F.coalesce("content_type", F.lit(""))).contains("text/html")
-    fits = F.lit(True) if max_bytes is None else F.coalesce("content_length", F.lit(0)) <= max_bytes
-    return responses.where((F.col("status") == 200) & (is_page | fits)).withColumn(
-        "kind", F.when(is_page, "page").otherwise("file")
-    )
+    return _judged(responses, max_bytes).where("reason IS NULL").drop("reason")
+
+
+def skipped_responses(responses: DataFrame, *, max_bytes: int | None = None) -> DataFrame:
+    """What ``route_responses`` leaves out, with its ``kind`` and the ``reason``: ``status`` (not 200, or none) or ``size``."""
+    return _judged(responses, max_bytes).where("reason IS NOT NULL")
 
 
 def ending_for(content_type: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leaksieve.functions import urls
 from leaksieve.operators.crawl import crawl, reach
 from leaksieve.operators.links import at_depth, extract_links, filter_links, page_edges
-from leaksieve.operators.web import name_files, route_responses
+from leaksieve.operators.web import name_files, route_responses, skipped_responses
 
 
 def test_resolution_agrees_with_the_standard_library(spark):
@@ -30,6 +30,25 @@ def test_resolution_agrees_with_the_standard_library(spark):
     assert not wrong, wrong[:5]
 
 
+def test_every_kind_of_link_is_resolved_without_python(spark):
+    bases = ["http://h.org/a/b/../c/./d.html;p?q#f", "http://h.org/a/../", "a/b/c", "/x/..", "//h.org/a", "", "ftp://h/a/b;t", "mailto:x@y", "http://[::1]:8/a", "http://[::1/a", "http://h\uff0fx/a"]
+    links = ["../x", "../../..", "./", ".", "..", "a/./../b/", "a//b/../c", "/../x", "/a/./b/..", "?", "?z=1", "#", "#g", "//i.org", "//i.org/../x", ";p", ";", "x;y/z;w", "?a#b?c", "#b?c"]
+    links += [f"http://[{a}]/x/../y" for a in ("::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::1:2:3:4:5:6:7", "1::2:3:4:5:6:7:8", "::1.2.3.4", "::01.2.3.4", "::256.0.0.1", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "1:2:3:4:5::1.2.3.4", "fe80::1%eth0", "fe80::1%", "a%b%c", "", "1.2.3.4", "vF.x", "v.x", "12345::", "::1::", ":", "1:2")]
+    links += ["http://a]b/", "http://a]b[c/", "http://h\u2100/x", "http://\u00fc.org/x", "  http:x", "\x01/y", "a\tb", "HTTP:a/../b", "http:", "http:?q", "ws://x/../y", "data:a/../b", "sip:a;b", "1a:b", "\u00e9:b", None]
+    rows = [(b, link) for b in [*bases, None] for link in links]
+
+    def expected(base, link):
+        try:
+            return None if base is None or link is None else urljoin(base, link)
+        except ValueError:
+            return None
+
+    resolved = spark.createDataFrame(rows, "b string, l string").select("b", "l", urls.resolve(F.col("b"), F.col("l")).alias("r"))
+    wrong = [(r.b, r.l, r.r, expected(r.b, r.l)) for r in resolved.collect() if r.b is not None and r.r != expected(r.b, r.l)]
+    assert not wrong, wrong[:5]
+    assert "Python" not in resolved._jdf.queryExecution().executedPlan().toString()
+
+
 def test_url_parts(spark):
     texts = ["http://h:8/a/b.js;v=1?x#y", "https://h", "http://h?a/b.js", "//h/x", "/only/p.js", "ftp://h/x.js", "http://h/a;b/c;d", "HTTP://h/#/x.js", "x"]
     rows = spark.createDataFrame([(t,) for t in texts], "u string").select(
@@ -126,6 +145,10 @@ def test_responses_and_names(spark):
     assert {(r.url, r.kind) for r in routed.collect()} == {
         (r[0], "page" if "html" in (r[2] or "").lower() else "file") for r in rows if r[0] not in ("http://h/big", "http://h/gone.js")
     }
+    skipped = {r.url: (r.kind, r.reason) for r in skipped_responses(table, max_bytes=10 * 1024 * 1024).collect()}
+    assert skipped == {"http://h/big": ("file", "size"), "http://h/gone.js": ("file", "status")}
+    unknown = spark.createDataFrame([("u", None, None, None)], table.schema)
+    assert [r.reason for r in skipped_responses(unknown).collect()] == ["status"] and route_responses(unknown).count() == 0
     named = {r.url: r.file_name for r in name_files(routed).collect()}
     assert {named["http://h/a/app.js"], named["http://h/b/app.js"]} == {"app.js", "app_1.js"}
     assert named["http://h/page.php"] == "page.php.html" and named["http://g/app.js"] == "app.js"
