@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +12,11 @@ from pyspark.sql import Window
 
 ROWS_PER_TASK = 1_000_000
 
-# A filter of ids is 4,096 bitmaps of 4 KB, 16 MB whatever the data: small enough to send.
-_BITMAPS, _BITS = 4096, 32768
+# A filter of ids is a number of bitmaps of 4 KB, as many as give each id 12 bits; an id sets four bits of one of them.
+_BITS, _BITS_PER_ID, _PROBES = 32768, 12, 4
+
+#: The largest filter that is sent to every task: 256 MB, which 1.7 * 10^8 ids fill.
+FILTER_BYTES = 256 * 1024 * 1024
 
 
 def join_hot(
@@ -61,16 +66,39 @@ def number_within(rows: DataFrame, groups: Sequence[str], order: Column, name: s
     )
 
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
+def filter_bitmaps(ids: int, most_bytes: int = FILTER_BYTES) -> int:
+    """How many bitmaps a filter of so many ids has: it grows with them up to ``most_bytes``."""
+    return max(1, min(math.ceil(ids * _BITS_PER_ID / _BITS), most_bytes * 8 // _BITS))
+
+
+def filter_error(ids: int, bitmaps: int) -> float:
+    """The share of other rows that a filter lets through, as expected."""
+    return (1 - math.exp(-_PROBES * ids / (bitmaps * _BITS))) ** _PROBES
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, id: str, most_bytes: int = FILTER_BYTES) -> DataFrame:
     """The rows whose 64-bit ``id`` is in ``wanted``, and perhaps others; no row is shuffled.
 
     For rows too wide to move: work on what is left where it lies, and take the
-    others out of the small results by an exact join.  Beyond some 10^8 wanted ids
-    nearly every row is let through.
+    others out of the small results by an exact join.  ``wanted`` is read twice, once
+    to count it.  Below ``most_bytes`` under 1 % of the other rows are let through; a
+    filter of that size takes more ids than it has room for, and then lets more through.
     """
-    place = F.pmod(id, F.lit(_BITMAPS * _BITS))
-    bitmap, bit = F.floor(place / _BITS).cast("int").alias("_bitmap"), (place % _BITS).cast("int")
-    bitmaps = wanted.groupBy(bitmap).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits"))
-    joined = rows.select("*", bitmap, bit.alias("_bit")).join(F.broadcast(bitmaps), "_bitmap")
-    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
-    return joined.where(F.getbit(byte, F.col("_bit") % 8) == 1).select(*rows.columns)
+    bitmaps = filter_bitmaps(wanted.count(), most_bytes)
+    bitmap = F.pmod(id, F.lit(bitmaps)).cast("int").alias("_bitmap")
+    probes = F.xxhash64(id, F.lit(1)).alias("_probes")
+
+    def bit(n: int) -> Column:
+        return F.shiftrightunsigned("_probes", 15 * n).bitwiseAND(F.lit(_BITS - 1))
+
+    # Dealt out by bitmap first, so that each is built by one task and no half-built one is moved.
+    placed = wanted.select(bitmap, probes).repartition("_bitmap")
+    bits = placed.select("_bitmap", F.explode(F.array(*map(bit, range(_PROBES)))).alias("_bit"))
+    built = bits.groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    joined = rows.select("*", bitmap, probes).join(F.broadcast(built), "_bitmap")
+
+    def is_set(n: int) -> Column:
+        byte = F.conv(F.hex(F.substring("_bits", F.floor(bit(n) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, (bit(n) % 8).cast("int")) == 1
+
+    return joined.where(functools.reduce(Column.__and__, map(is_set, range(_PROBES)))).select(*rows.columns)

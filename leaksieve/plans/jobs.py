@@ -78,7 +78,7 @@ def web_run(
     with what was reached.
     """
     reached = reach(seeds, page_edges(pages), max_depth=max_depth).select("url")
-    wanted = reached.select(F.xxhash64("url").alias("_id"))
+    wanted = reached.select(F.xxhash64("url").alias("_id"))  # of checkpointed levels, so it is cheap to read twice
     near = maybe_in(pages.withColumn("_id", F.xxhash64("url")), wanted, "_id")
     found = _found(pages_corpus(near), rules, domains, term)
     named = reached.withColumnRenamed("url", "file")
