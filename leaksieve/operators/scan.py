@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +71,7 @@ def scan(
     if not rules:
         raise ValueError("no rules to scan with")
     _check_literals(corpus)
+    _check_user_rules(corpus, rules)
     ids = [F.col(file).cast("string").alias("file"), *keep]
     texts = corpus.select(*ids, F.col(text).alias(_TEXT)).where(F.length(_TEXT) > 0)
     framed = _framed(_candidates(texts, rules, ["file", *keep], mark_scanned))
@@ -110,6 +112,17 @@ def _check_literals(corpus: DataFrame) -> None:
         raise ValueError("the scan needs spark.sql.parser.escapedStringLiterals=false")
 
 
+def _check_user_rules(corpus: DataFrame, rules: Sequence[Rule]) -> None:
+    """Let the JVM read users' patterns before a job starts; the driver folds each into a constant."""
+    for rule in rules:
+        if rule.family != "user":
+            continue
+        try:
+            corpus.sparkSession.sql(f"SELECT rlike('', {literal(rule.java)})").collect()
+        except PySparkException as refused:
+            raise ValueError(f"the JVM refuses the pattern of rule {rule.name!r}") from refused
+
+
 def _packed(rule: str, line: str, match: str, offset: str, whole: bool) -> str:
     """SQL for one finding as one string, fields as wide as ``_WIDTHS`` says."""
     shown = match if whole else f"substring({match}, 1, {SNIPPET_LENGTH})"

@@ -10,7 +10,7 @@ from checks.registry import KEYWORD_LISTING, all_lines, extended, filled
 from checks.samples import EXTENDED_SAMPLES, FAMILY_SAMPLES
 from leaksieve.operators.scan import scan
 from leaksieve.rules.catalogue import extended_rules, family_rules, keyword_rule, standard_rules
-from leaksieve.rules.model import custom_domain_rule, extend, user_rules
+from leaksieve.rules.model import Rule, custom_domain_rule, extend, user_rules
 from pyspark.sql import functions as F
 from tests.conftest import as_tuples, by_hand, corpus
 
@@ -162,3 +162,12 @@ def test_user_rules_mean_what_they_mean_in_python(spark):
 def test_user_rules_without_an_equivalent_are_refused(regex):
     with pytest.raises(ValueError):
         user_rules({"r": re.compile(regex)})
+
+
+def test_a_pattern_that_the_jvm_refuses_is_named_before_the_scan(spark):
+    texts = corpus(spark, "aab")
+    # Refused by both, so it has to come as a finished rule.
+    bad = Rule("bad", "[b-a]")
+    with pytest.raises(ValueError, match="'bad'"):
+        scan(texts, [*user_rules({"good": "a+"}), bad])
+    assert [r.snippet for r in scan(texts, user_rules({"good": "a+"})).collect()] == ["aa"]
