@@ -9,6 +9,7 @@ the rules whose literals it holds.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import replace
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from leaksieve.functions.text import content_hash, normalized_hash
 from leaksieve.operators.scan import _KEYWORDS, _RULE, _RULES, _TEXT, FOUND, SNIPPET_LENGTH, _candidates, scan
+from leaksieve.rules.gates import HASH_RUN, NUMBER, NUMBER_END
 from leaksieve.rules.model import Rule, custom_domain_rule
 
 # Every rule reads such a text alike in both engines.
@@ -54,9 +56,11 @@ def scan_exact(
 def _scan_in_python(corpus: DataFrame, rules: Sequence[Rule], text: str, file: str, keep: Sequence[str]) -> DataFrame:
     ids = ["file", *keep]
     texts = corpus.select(F.col(file).cast("string").alias("file"), *keep, F.col(text).alias(_TEXT))
-    # Regexes that spare work are Java's too, so here only literals do.
-    gated = _candidates(texts.where(F.length(_TEXT) > 0), [replace(rule, needs_regex=None) for rule in rules], ids)
-    gated = gated.where(F.size(_RULES) > 0)
+    # Regexes that spare work mean here what they mean to Python, so in the JVM only literals do.
+    by_literals = [replace(rule, needs_regex=None, needs_number=None, needs_hash_run=False) for rule in rules]
+    gated = _candidates(texts.where(F.length(_TEXT) > 0), by_literals, ids)
+    # Not a filter: Spark would push that below the folding of case, to fold each text once for every rule.
+    gated = gated.select(*ids, F.when(F.size(_RULES) > 0, F.col(_TEXT)).alias(_TEXT), _RULES)
     places = [(_RULE, T.IntegerType()), ("line", T.IntegerType()), ("match_offset", T.IntegerType()), ("match", T.StringType())]
     schema = T.StructType([gated.schema[name] for name in ids] + [T.StructField(name, kind) for name, kind in places])
     found = gated.mapInArrow(_matches(rules, ids), schema)
@@ -85,10 +89,24 @@ def _matches(rules: Sequence[Rule], ids: Sequence[str]):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regexes = [rule.compile() for rule in rules]
+        number, hash_run = re.compile(NUMBER), re.compile(HASH_RUN)
+        number_gates = {gate: re.compile(gate) for rule in rules if (gate := rule.needs_number)}
 
-        def rows(text: str, listed: list[int]) -> Iterator[tuple[int, int, int, str]]:
-            ends = [at for at, character in enumerate(text) if character == "\n"]
+        def able(listed: list[int], text: str) -> Iterator[int]:
+            """Those of the candidates whose shapes the text holds, each looked for once."""
+            numbers, found = NUMBER_END.join(number.findall(text)), {}
             for n in candidates(listed, text):
+                gate = rules[n].needs_number
+                if gate and gate not in found:
+                    found[gate] = number_gates[gate].search(numbers) is not None
+                if rules[n].needs_hash_run and None not in found:
+                    found[None] = hash_run.search(text) is not None
+                if (not gate or found[gate]) and (not rules[n].needs_hash_run or found[None]):
+                    yield n
+
+        def rows(text: str, listed: list[int]) -> Iterator[tuple[int, int, int, str]]:
+            ends = [at.start() for at in re.finditer("\n", text)]
+            for n in able(listed, text):
                 seen = set()
                 for match in regexes[n].finditer(text):
                     found = bisect_left(ends, match.start()) + 1, match[0]
@@ -105,7 +123,8 @@ def _matches(rules: Sequence[Rule], ids: Sequence[str]):
         for batch in batches:
             sources, out = [], []
             for source in range(batch.num_rows):
-                for row in rows(batch.column(_TEXT)[source].as_py(), batch.column(_RULES)[source].as_py()):
+                text = batch.column(_TEXT)[source].as_py()
+                for row in rows(text, batch.column(_RULES)[source].as_py()) if text is not None else ():
                     sources.append(source)
                     out.append(row)
                     if len(out) == _ROWS_OUT:

@@ -124,17 +124,26 @@ LITERAL_GATES: dict[str, tuple[tuple[str, ...], ...]] = {
     "Database Schema": (("schema.sql", "database_diagram", "erd.png"),),
 }
 
-# Shapes shared by rules that have no literal; each is a run every match holds.
-_DIGIT = r"(?U)\d"
-_LONG_RUN = r"\b\w{32}"
-_SIX_DIGITS = r"(?U)\d{6}"
-REGEX_GATES: dict[str, str] = {
-    "AWS Secret Key": _LONG_RUN,
-    "MD5 Hash": _LONG_RUN,
-    "SHA-1 Hash": _LONG_RUN,
-    "SHA-256 Hash": _LONG_RUN,
-    "BIC": _DIGIT,
-    "Corr Account RU": _SIX_DIGITS,
+#: A run of ASCII word characters as long as a hash and no longer.
+HASH_RUN = r"(?<![0-9A-Za-z_])(?:[0-9A-Za-z_]{32}|[0-9A-Za-z_]{40}|[0-9A-Za-z_]{64})(?![0-9A-Za-z_])"
+# The same for the JVM: words are taken one by one and every repeat is possessive, so the text is read once.
+_HASH = r"(?:\w{32}|\w{40}|\w{64})(?!\w)"
+HASH_RUN_JVM = rf"\A(?:(?:\w{{0,31}}+|(?!{_HASH})\w++)\W++)*+{_HASH}"
+HASHES = ("AWS Secret Key", "MD5 Hash", "SHA-1 Hash", "SHA-256 Hash")
+
+#: A digit and what follows it of digits and of characters that stand between them in numbers of every kind.
+NUMBER = r"\d[\d\s\-.()/,+]*+"
+#: Stands between the numbers of a text, written one after another.
+NUMBER_END = "|"
+
+# What the numbers of a text hold if a rule matches it; every match holds it as one piece.
+# The syntax and, class by class, the meaning are those of the engine that runs the rule.
+_DIGIT = r"\d"
+_SIX_DIGITS = r"\d{6}"
+_DIALLED = r"\d{3,4}\)?[\s\-.]?\d{3}[\s\-.]?\d{2,4}[\s\-.]?\d{2}"
+NUMBER_GATES: dict[str, str] = {
+    "BIC": r"\d{9}",
+    "Corr Account RU": r"\d{20}",
     "Passport (RU)": _SIX_DIGITS,
     "Passport (EN)": _SIX_DIGITS,
     "Driver License (RU)": _SIX_DIGITS,
@@ -149,26 +158,53 @@ REGEX_GATES: dict[str, str] = {
     "Slack Bot Token": _SIX_DIGITS,
     "Crypto Wallet Address": _DIGIT,
     "Blockchain Transaction Hash": _DIGIT,
-    "Credit Card Visa/MC": _SIX_DIGITS,
-    "Credit Card Amex": _SIX_DIGITS,
-    "CVV/CVC 3 digits": _DIGIT,
-    "IBAN": _DIGIT,
-    "Bank Account RU": _SIX_DIGITS,
-    "Routing Number US": _SIX_DIGITS,
-    "Bitcoin Address": _DIGIT,
-    "SNILS": _DIGIT,
-    "INN (10 or 12 digits)": _SIX_DIGITS,
-    "Social Security Number (SSN)": _DIGIT,
-    "Phone Number": _DIGIT,
-    "GPS Coordinates": _DIGIT,
-    "IP Address": _DIGIT,
-    "Physical Address": _DIGIT,
-    "Fax Number": _DIGIT,
-    "Birth Date": _DIGIT,
-    "Car Plate Number": _DIGIT,
-    "One-Time Code": _SIX_DIGITS,
+    "Credit Card Visa/MC": r"\d{13}",
+    "Credit Card Amex": r"\d{15}",
+    "CVV/CVC 3 digits": r"\d{3}",
+    "IBAN": r"\d{2}",
+    "Bank Account RU": r"(?<!\d)\d{20}(?!\d)",
+    "Routing Number US": r"(?<!\d)\d{9}(?!\d)",
+    "Bitcoin Address": r"[13]",
+    "SNILS": r"\d{3}-\d{3}-\d{3}\s*\d{2}",
+    "INN (10 or 12 digits)": r"(?<!\d)(?:\d{10}|\d{12})(?!\d)",
+    "Social Security Number (SSN)": r"\d{3}-\d{2}-\d{4}",
+    "Phone Number": _DIALLED,
+    "GPS Coordinates": r"\d\.\d+,\s*[-+]?\d{1,3}\.\d",
+    "IP Address": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d",
+    "Physical Address": r"\d\s",
+    "Fax Number": _DIALLED,
+    "Birth Date": r"\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2}",
+    "Car Plate Number": r"(?<!\d)\d{3}(?!\d)",
+    "One-Time Code": r"(?<!\d)\d{6}(?!\d)",
     "Invoice Number": _DIGIT,
-    "Tax Identification Number (TIN)": _SIX_DIGITS,
+    "Tax Identification Number (TIN)": r"(?<!\d)\d{9,12}(?!\d)",
+}
+
+# Same matches as the catalogue regex, begun by a character class or a literal that few places of a
+# text pass, where a word edge or a choice costs the JVM several times as much at each of them.  What
+# stood in front is looked back at, but for digits: Java looks back by its 16-bit characters, and some digits take two.
+FAST: dict[str, str] = {
+    "JWT Token": r"eyJ(?<=\beyJ)[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\b",
+    "Admin Panel Path": r"/(?<=\b/)(?:admin|dashboard|manager|controlpanel)\b",
+    "Log File Path": r"/(?<=\b/)(?:logs|log|error_log|access_log)\b",
+    "Config File": r"\.(?<=\b\.)(?:env|env\.local|env\.production|env\.dev)\b",
+    "Internal URL/IP": (
+        r"[l1.h](?:ocalhost(?<=localhost)|27\.0\.0\.1(?<=127\.0\.0\.1)|0\.(?<=10\.)\d+\.\d+\.\d+|"
+        r"92\.168\.(?<=192\.168\.)\d+\.\d+|svc\.k8s\.(?<=\.svc\.k8s\.)|internal\.(?<=\.internal\.)|"
+        r"ttps?://(?<=https?://)[^/]+\.internal\.[^/\s]+)"
+    ),
+    "Internal URL/IP (extended)": (
+        r"[l1.](?:ocalhost(?<=localhost)|27\.0\.0\.1(?<=127\.0\.0\.1)|0\.(?<=10\.)\d+\.\d+\.\d+|"
+        r"92\.168\.(?<=192\.168\.)\d+\.\d+|svc\.k8s\.(?<=\.svc\.k8s\.)|internal\.(?<=\.internal\.))"
+    ),
+    "Bank Account RU": r"(?=\d)\b\d{20}\b",
+    "Routing Number US": r"(?=\d)\b\d{9}\b",
+    "INN (10 or 12 digits)": r"(?=\d)(?:\b\d{10}\b|\b\d{12}\b)",
+    "One-Time Code": r"(?=\d)\b\d{6}\b",
+    "Tax Identification Number (TIN)": r"(?=\d)\b\d{9,12}\b",
+    "Birth Date": r"(?=\d)\b\d{1,2}[\/.\-]\d{1,2}[\/.\-]\d{2,4}\b",
+    "Car Plate Number": r"[A-Z](?<=\b[A-Z])[A-Z]\d{3}[A-Z]{2}\d{2,3}\b",
+    "Bitcoin Address": r"[b13](?<=\b[b13])(?:c1(?<=bc1)|(?<=[13])[a-zA-HJ-NP-Z0-9]{25,39})\b",
 }
 
 # Same matches as the catalogue regex, with the repetition unrolled by chunks of

@@ -22,8 +22,12 @@ class Rule:
     ``needs`` lists conditions every match implies: each inner tuple names
     literals of which at least one has to occur in the text (case-folded for an
     ``ignore_case`` rule).  ``needs_regex`` is the same idea for rules without a
-    literal: a cheaper regex that is found in every match.  ``keywords`` marks a
-    ``keyword=value`` rule, found by looking up the words in front of ``=``.
+    literal: a cheaper regex that is found in every match, in Java's syntax.
+    ``needs_number`` is a regex found in the numbers of the text, and ``needs_hash_run`` asks for
+    a word as long as a hash, in either engine.
+    ``keywords`` marks a ``keyword=value`` rule, found by looking up the words in front of ``=``.
+    ``fast_pattern`` is what the JVM searches for in place of ``java``, as it accepts
+    exactly the same matches sooner.
     They only ever save work; the findings are those of ``pattern``.
     """
 
@@ -34,8 +38,11 @@ class Rule:
     family: str = "user"
     needs: tuple[tuple[str, ...], ...] = ()
     needs_regex: str | None = None
+    needs_number: str | None = None
+    needs_hash_run: bool = False
     keywords: tuple[str, ...] = ()
     jvm_pattern: str | None = None
+    fast_pattern: str | None = None
     severity: str = ""
     flags: int = 0  # of ``re``, beside those above
 
@@ -45,19 +52,49 @@ class Rule:
 
     @property
     def java(self) -> str:
-        """The regex as the JVM runs it: Unicode classes, LF as only line end."""
+        """The regex as the JVM reads it: Unicode classes, LF as only line end."""
+        return self._java_flags + (self.jvm_pattern or self.pattern)
+
+    @property
+    def searched(self) -> str:
+        """The regex as the JVM runs it.  Stored findings are named by ``java``, which stays as it is."""
+        if self.fast_pattern:
+            return self._java_flags + self.fast_pattern
+        firsts = first_letters(self.pattern) if self.jvm_pattern is None and not self.flags & re.VERBOSE else ""
+        # A class of letters is tried much sooner than a word edge.
+        return self._java_flags + (f"(?=[{firsts}])" if firsts else "") + (self.jvm_pattern or self.pattern)
+
+    @property
+    def _java_flags(self) -> str:
         flags = "d" + ("iu" if self.ignore_case else "") + ("m" if self.multiline else "") + "U"
         if self.flags & re.ASCII:
             flags = flags.replace("u", "").replace("U", "")
         if self.flags & re.DOTALL:
             flags += "s"
-        return f"(?{flags})" + (self.jvm_pattern or self.pattern)
+        return f"(?{flags})"
 
     def compile(self) -> re.Pattern[str]:
         flags = (re.IGNORECASE if self.ignore_case else 0) | (re.MULTILINE if self.multiline else 0)
         return re.compile(self.pattern, flags | self.flags)
 
 
+_ALTERNATIVES = re.compile(r"\\b\((?:\?:)?((?:[^()\[\]\\{}]|\\.)+)\)(?![?*{])[^|]*")
+_LITERAL_START = re.compile(r"[^\W_](?![?*{])|[_/](?![?*{])")
+
+
+def first_letters(pattern: str) -> str:
+    """Letters of which every match begins with one, of a pattern that begins with a word edge; empty if not known."""
+    group = _ALTERNATIVES.fullmatch(pattern)
+    if group:
+        choices = group[1].split("|")
+    elif pattern.startswith("\\b") and "|" not in pattern:
+        choices = [pattern[2:]]
+    else:
+        return ""
+    firsts = [_LITERAL_START.match(choice) for choice in choices]
+    return "".join(sorted({first[0] for first in firsts})) if all(firsts) else ""
+
+
 def quote(literal: str) -> str:
     """Escape every ASCII character that is neither letter, digit nor underscore."""
     return "".join(
