@@ -90,8 +90,7 @@ def unread_files(
 ) -> DataFrame:
     """``(file, size, error)`` of what ``scan_files`` would have scanned but could not read, or was told not to."""
     listing = tree.list_tree(spark, path, suffixes=suffixes, excluded=excluded, opener=opener)
-    read = tree.read_listed(listing, path, max_bytes=max_bytes, opener=opener)
-    return read.where("error IS NOT NULL").select("file", "size", "error")
+    return tree.unread_listed(listing, path, max_bytes=max_bytes, opener=opener)
 
 
 def _read_tree(spark, path, suffixes, excluded, max_bytes) -> DataFrame:

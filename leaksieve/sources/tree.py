@@ -21,8 +21,10 @@ from leaksieve.session import ensure_checkpoint_dir
 #: A path below the root ("." is the root itself), its bytes if known, and why it could not be listed.
 LISTED = "path string, file string, size long, error string"
 READ = "file string, size long, content binary, error string"
+UNREAD = "file string, size long, error string"
 TOO_LARGE = "larger than max_bytes"
 _BATCH_BYTES = 32 << 20
+_CHUNK_BYTES = 1 << 20
 
 #: Makes the file system of a path, and the path as that one knows it.
 Opener = Callable[[str], tuple[Any, str]]
@@ -194,6 +196,47 @@ def read_listed(
         if rows:
             yield batch_of(rows)
 
+    return _dealt(listing, bytes_per_task).mapInArrow(read, READ)
+
+
+def unread_listed(
+    listing: DataFrame, root: str, *, max_bytes: int | None = None, opener: Opener = open_path, bytes_per_task: int = 64 << 20
+) -> DataFrame:
+    """Those of the listed files that ``read_listed`` gives no content for, and why.
+
+    Every file is read to its end, as it may break off anywhere, but piece by piece: no content is kept or leaves its task.
+    """
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = opener(root)
+        types = [pa.string(), pa.int64(), pa.string()]
+
+        def problem_of(path: str) -> str | None:
+            try:
+                with open(path, "rb", buffering=0) if system is None else system.open_input_stream(path) as handle:
+                    while handle.read(_CHUNK_BYTES):
+                        pass
+            except OSError as problem:
+                return type(problem).__name__
+            return None
+
+        for batch in batches:
+            rows = []
+            for path, file, size, error in zip(*(batch.column(n) for n in ("path", "file", "size", "error")), strict=True):
+                size, error = size.as_py(), error.as_py()
+                if error is None and max_bytes is not None and size > max_bytes:
+                    error = TOO_LARGE
+                if error is None:
+                    error = problem_of(path.as_py())
+                if error is not None:
+                    rows.append((file.as_py(), size, error))
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "size", "error"])
+
+    return _dealt(listing, bytes_per_task).mapInArrow(check, UNREAD)
+
+
+def _dealt(listing: DataFrame, bytes_per_task: int) -> DataFrame:
     total = listing.agg(F.sum(F.coalesce("size", F.lit(0)) + 4096).alias("n")).first().n or 0
-    tasks = max(listing.sparkSession.sparkContext.defaultParallelism, total // bytes_per_task)
-    return listing.repartition(tasks).mapInArrow(read, READ)
+    return listing.repartition(max(listing.sparkSession.sparkContext.defaultParallelism, total // bytes_per_task))
