@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: From this length on ``SequenceMatcher`` passes over characters that are frequent.
+POPULAR_FROM = 200
+
 UNICODE_BLANK_ENDS = r"(?U)^\s+|\s+$"
 
 
@@ -107,20 +110,28 @@ def _unescape_udf():
     return resolve.asNondeterministic()  # so that no filter runs it twice
 
 
+def length_ratio(current: Column, first: Column) -> Column:
+    """An upper bound of ``bag_ratio``: what the lengths leave possible."""
+    both = F.greatest(F.length(current) + F.length(first), F.lit(1))
+    return F.when(current == first, F.lit(1.0)).otherwise(2 * F.least(F.length(current), F.length(first)) / both)
+
+
 def bag_ratio(current: Column, first: Column) -> Column:
     """An upper bound of ``similarity``, without Python: what the characters have in common, wherever they stand.
 
     Matching blocks are made of common characters, each used once, so they hold no more of them than both strings do.
     """
 
-    def counted(text: Column) -> Column:
-        letters = F.array_sort(F.split(text, ""))
-        nth = F.transform(F.array(letters), lambda s: F.transform(s, lambda c, i: F.struct(c.alias("c"), (i + 1 - F.array_position(s, c)).alias("n"))))
-        return F.get(nth, 0)
+    def held(text: Column, letter: Column) -> Column:
+        return F.octet_length(text) - F.octet_length(F.replace(text, letter, F.lit("")))
+
+    def add(common: Column, letter: Column) -> Column:
+        return common + F.least(held(current, letter), held(first, letter)) / F.greatest(F.octet_length(letter), F.lit(1))
 
     both = F.greatest(F.length(current) + F.length(first), F.lit(1))
-    quick = 2 * F.least(F.length(current), F.length(first)) / both
-    common = 2 * F.size(F.array_intersect(counted(current), counted(first))) / both
+    quick = length_ratio(current, first)
+    # Letter by letter, each counted by one search in bytes: linear in the text for every letter it has.
+    common = 2 * F.aggregate(F.array_distinct(F.split(current, "")), F.lit(0.0), add) / both
     return F.when(current == first, F.lit(1.0)).otherwise(F.least(quick, common))
 
 
@@ -131,15 +142,46 @@ def similarity(current: Column, first: Column) -> Column:
     return F.when(current == first, F.lit(1.0)).otherwise(ratio)
 
 
+def matching_ratio(current: str, first: str) -> float:
+    """``SequenceMatcher(None, current, first).ratio()``.
+
+    The longest block both hold, the earliest of equal ones, then the same in front of it and
+    behind it.  Of texts short enough that no character counts as popular it is found by
+    searches for substrings, which take a small part of the time.
+    """
+    from difflib import SequenceMatcher
+
+    if max(len(current), len(first)) >= POPULAR_FROM:
+        return SequenceMatcher(None, current, first).ratio()
+    common, parts = 0, [(current, first)]
+    while parts:
+        a, b = parts.pop()
+        at = size = 0
+        for i in range(len(a) if b else 0):
+            step = 1 if i + size < len(a) else 0
+            while step:
+                if i + size + step <= len(a) and a[i : i + size + step] in b:
+                    at, size, step = i, size + step, 2 * step
+                else:
+                    step //= 2
+        if size:
+            place = b.index(a[at : at + size])
+            common += size
+            parts += [(a[:at], b[:place]), (a[at + size :], b[place + size :])]
+    both = len(current) + len(first)
+    return 2.0 * common / both if both else 1.0
+
+
 def _ratio_udf():
     @F.pandas_udf("double")
     def ratio(current: pd.Series, first: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
+        known = {}  # A text that is everywhere is compared once a batch.
+
+        def of(a, b):
+            if (a, b) not in known:
+                known[a, b] = None if a is None or b is None else matching_ratio(a, b)
+            return known[a, b]
 
-        pairs = zip(current, first, strict=True)
-        return pd.Series(
-            [None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in pairs],
-            dtype="float64",
-        )
+        return pd.Series([of(a, b) for a, b in zip(current, first, strict=True)], dtype="float64")
 
     return ratio.asNondeterministic()  # so that no filter runs it twice

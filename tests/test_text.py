@@ -1,12 +1,24 @@
 from __future__ import annotations
 
 import hashlib
+import random
+import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from leaksieve.functions.severity import severity_column, severity_of, severity_rank
-from leaksieve.functions.text import decode_utf8_lossy, normalized, normalized_hash, similarity, strip, unescape
+from leaksieve.functions.text import (
+    POPULAR_FROM,
+    bag_ratio,
+    decode_utf8_lossy,
+    matching_ratio,
+    normalized,
+    normalized_hash,
+    similarity,
+    strip,
+    unescape,
+)
 from checks.registry import extended
 
 
@@ -50,6 +62,34 @@ def test_similarity_is_that_of_matching_blocks(spark):
     assert [(r.a, r.b, r.s) for r in rows.collect()] == [(a, b, SequenceMatcher(None, a, b).ratio()) for a, b in pairs]
 
 
+def test_ratio_by_substrings_is_that_of_matching_blocks():
+    rng = random.Random(7)
+    for letters in ("ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz0123456789é😀"):
+        for size in (0, 1, 5, 30, POPULAR_FROM - 3, POPULAR_FROM + 3):
+            for _ in range(40):
+                a = "".join(rng.choices(letters, k=size))
+                b = list(a)
+                for _ in range(rng.randrange(4)):
+                    at = rng.randrange(len(b) + 1)
+                    b[at : at + rng.randrange(4)] = rng.choices(letters, k=rng.randrange(6))
+                assert matching_ratio(a, "".join(b)) == SequenceMatcher(None, a, "".join(b)).ratio()
+
+
+def test_long_tokens_are_compared_by_substrings(monkeypatch):
+    token = "eyJ" + "hbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9" * 3 + ".a12345.sig"
+    marked = token[:105] + "!!!" + token[105:]
+    want = SequenceMatcher(None, marked, token).ratio()
+    monkeypatch.setattr("difflib.SequenceMatcher", None)
+    assert matching_ratio(marked, token) == want
+
+
+def test_the_bound_is_linear_in_the_text(spark):
+    long = spark.range(1).select(F.repeat(F.lit("abcd"), 15_000).alias("a"), F.repeat(F.lit("bcde"), 15_000).alias("b"))
+    began = time.monotonic()
+    assert long.select(bag_ratio(F.col("a"), F.col("b"))).first()[0] == 0.75
+    assert time.monotonic() - began < 5
+
+
 def test_severity_column_agrees_with_the_function(spark):
     names = spark.createDataFrame([(r.name,) for r in extended()], "n string")
     for row in names.select("n", severity_column(F.col("n")).alias("s")).collect():
