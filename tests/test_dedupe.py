@@ -79,6 +79,18 @@ def test_hot_key_is_spread_and_complete(spark):
     assert joined.where("v = concat(k, '!')").select("id").distinct().count() == 10_000
 
 
+def test_comparisons_with_one_first_are_dealt_out(spark):
+    n = F.col("id").cast("int")
+    snippet = F.when(n == 0, "a very usual token").otherwise("a very usual token!")
+    found = spark.range(110_000).select(F.lit("A").alias("type"), F.format_string("f%07d", n).alias("file"), n.alias("line"), snippet.alias("snippet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = duplicate_pairs(found).select(F.spark_partition_id().alias("task")).groupBy("task").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in pairs) == 109_999 and len(pairs) > 1
+
+
 def test_numbers_within_groups(spark):
     rows = spark.range(5_000).select((F.col("id") % 2 == 0).alias("g"), F.col("id").cast("string").alias("u"))
     numbered = number_within(rows, ["g"], F.col("u"), "n")
